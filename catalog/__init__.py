@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports"]
+MODULES = ["reports", "features"]
 
 
 def load_all() -> None:
