@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features"]
+MODULES = ["reports", "features", "anomaly"]
 
 
 def load_all() -> None:
