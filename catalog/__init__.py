@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly"]
+MODULES = ["reports", "features", "anomaly", "scalars"]
 
 
 def load_all() -> None:
