@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly", "scalars"]
+MODULES = ["reports", "features", "anomaly", "scalars", "statements"]
 
 
 def load_all() -> None:

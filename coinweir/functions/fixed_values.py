@@ -1,5 +1,11 @@
 """Fixed values. They decide results, so they are stated as plain text, in natural order."""
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Merchant keys.
 TOP_LEVEL_DOMAINS = ["com", "ca", "net", "org", "io", "co", "app", "gov", "edu", "uk", "us", "au", "de", "fr"]
 STORE_WORDS = ["store", "shop", "location", "branch", r"no\.?"]

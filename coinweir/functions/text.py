@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often `body` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_of(patterns: list[str]) -> str:
     return "|".join(patterns)
 
 
 def strip(text: str | Column) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(text), F.lit(V.WHITE_SPACE))
 
 
 def is_blank(text: str | Column) -> Column:
@@ -60,12 +67,15 @@ def normalize_category(name: str | Column) -> Column:
 
 def validate_category(name: str | Column) -> Column:
     """At most three words, `&` spelled out, `Other` when blank."""
-    text = strip(F.coalesce(_col(name), F.lit("")))
-    parts = words(text)
-    short = F.when(
-        F.size(parts) > V.CATEGORY_WORDS, F.array_join(F.slice(parts, 1, V.CATEGORY_WORDS), " ")
-    ).otherwise(text)
-    return F.when(text == "", F.lit(V.DEFAULT_CATEGORY)).otherwise(F.replace(short, F.lit("&"), F.lit("and")))
+
+    def repaired(text: Column) -> Column:
+        parts = words(text)
+        short = F.when(
+            F.size(parts) > V.CATEGORY_WORDS, F.array_join(F.slice(parts, 1, V.CATEGORY_WORDS), " ")
+        ).otherwise(text)
+        return F.when(text == "", F.lit(V.DEFAULT_CATEGORY)).otherwise(F.replace(short, F.lit("&"), F.lit("and")))
+
+    return let(strip(F.coalesce(_col(name), F.lit(""))), repaired)
 
 
 def valid_type_or(text: str | Column, default: str) -> Column:
