@@ -175,9 +175,7 @@ enter(
 
 
 def candidates(s, d):
-    lines = mixed_lines(s, d)
-    types = P.statement_types(lines)
-    return P.with_statement_type(P.parse_lines(P.with_statement_type(lines, types), REF_YEAR), types)
+    return P.parse_lines(typed(mixed_lines(s, d)), REF_YEAR)
 
 
 enter(

@@ -16,6 +16,7 @@ from coinweir.functions import fixed_values as V
 from coinweir.functions import statement_text as S
 from coinweir.functions.text import any_of, clean_description, drop_reference_codes, let, strip
 from coinweir.plans.skew import attach, running_index
+from coinweir.session import cut_lineage
 
 PAGE = ["statement_id", "page_no"]
 CANDIDATE = [
@@ -36,6 +37,7 @@ def statement_types(lines: DataFrame) -> DataFrame:
     flags = lines.groupBy("statement_id").agg(
         *[F.max(F.contains(text, F.lit(name)).cast("double")).alias(f"f{i}") for i, name in enumerate(names)],
         F.max((strip("line") != "").cast("int")).alias("_has_text"),
+        F.count(F.lit(1)).alias("n_lines"),
     )
     n_card, n_weak = len(V.CARD_INDICATORS), len(V.CARD_WEAK_INDICATORS)
 
@@ -44,7 +46,7 @@ def statement_types(lines: DataFrame) -> DataFrame:
 
     card = total(range(n_card)) + total(range(n_card, n_card + n_weak)) * 0.5
     bank = total(range(n_card + n_weak, len(names)))
-    return flags.select("statement_id", card.alias("card_score"), bank.alias("bank_score"), "_has_text").select(
+    return flags.select("statement_id", card.alias("card_score"), bank.alias("bank_score"), "_has_text", "n_lines").select(
         "statement_id",
         "card_score",
         "bank_score",
@@ -53,6 +55,7 @@ def statement_types(lines: DataFrame) -> DataFrame:
         .otherwise("unknown")
         .alias("statement_type"),
         (F.coalesce("_has_text", F.lit(0)) == 1).alias("has_text"),
+        "n_lines",
     )
 
 
@@ -61,9 +64,11 @@ def _place() -> Column:
 
 
 def with_statement_type(rows: DataFrame, types: DataFrame) -> DataFrame:
-    return attach(rows, types.select("statement_id", "statement_type"), ["statement_id"], _place()).withColumn(
-        "statement_type", F.coalesce("statement_type", F.lit("unknown"))
+    """Rows with their statement's type; statements with very many lines are salted."""
+    typed = attach(
+        rows, types.select("statement_id", "statement_type"), ["statement_id"], _place(), counted=types, weight="n_lines"
     )
+    return typed.withColumn("statement_type", F.coalesce("statement_type", F.lit("unknown")))
 
 
 # ---- lines -------------------------------------------------------------------------------------------------
@@ -181,7 +186,7 @@ def parse_text_lines(lines: DataFrame, ref_year: int) -> DataFrame:
     return (
         _with_header(wanted)
         .where((F.col("kind") == "D+") & (F.length("text") >= 10))
-        .select(*PAGE, "line_no", "date", "text", "section", F.explode(rows).alias("r"))
+        .select(*PAGE, "line_no", "date", "text", "section", "statement_type", F.explode(rows).alias("r"))
         .select(
             *PAGE,
             "line_no",
@@ -191,6 +196,7 @@ def parse_text_lines(lines: DataFrame, ref_year: int) -> DataFrame:
             F.col("text").alias("raw_text"),
             "section",
             F.lit(1).alias("priority"),
+            "statement_type",
         )
     )
 
@@ -225,6 +231,7 @@ def parse_lines(lines: DataFrame, ref_year: int) -> DataFrame:
             F.max(F.when(closing, F.col("last_date"))).alias("transaction_date"),
             F.max("picked").alias("picked"),
             F.max("section").alias("section"),
+            F.max("statement_type").alias("statement_type"),
             F.max(kind == "D+").alias("one_line"),
             F.max(kind != "A").alias("in_parts"),
             F.max(F.when(closing, F.col("before"))).alias("before"),
@@ -253,7 +260,7 @@ def parse_lines(lines: DataFrame, ref_year: int) -> DataFrame:
         lambda r: r.isNotNull() & r["amount"].isNotNull() & (r["description"] != ""),
     )
     raw = F.array_join(F.transform("pieces", lambda p: p["text"]), " | ")
-    return blocks.withColumn("raw_text", raw).withColumn("r", F.explode(rows)).select("*", "r.*").select(*CANDIDATE)
+    return blocks.withColumn("raw_text", raw).withColumn("r", F.explode(rows)).select("*", "r.*").select(*CANDIDATE, "statement_type")
 
 
 def parse_blocks(lines: DataFrame, ref_year: int) -> DataFrame:
@@ -334,7 +341,7 @@ def parse_tables(tables: DataFrame, ref_year: int) -> DataFrame:
 
 
 def union_strategies(text_rows: DataFrame, block_rows: DataFrame) -> DataFrame:
-    return text_rows.select(*CANDIDATE).unionByName(block_rows.select(*CANDIDATE))
+    return text_rows.unionByName(block_rows)
 
 
 def dedup_transactions(rows: DataFrame) -> DataFrame:
@@ -377,12 +384,14 @@ def parse_statements(lines: DataFrame, tables: DataFrame, ref_year: int) -> tupl
 
     A statement with any finished table row uses its tables only; every other one uses text and blocks.
     """
-    types = statement_types(lines)
-    from_tables = finalize_statement(with_statement_type(parse_tables(tables, ref_year), types))
+    # One row per statement, one row per candidate: written once, read by every step below.
+    types = cut_lineage(statement_types(lines))
+    from_tables = cut_lineage(finalize_statement(with_statement_type(parse_tables(tables, ref_year), types)))
     by_table = from_tables.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_table"))
+    undecided = types.join(by_table, "statement_id", "left_anti").select("statement_id", "statement_type")
     # Statements decided by their tables need no text work at all.
-    rest = attach(lines, by_table, ["statement_id"], _place()).where(F.col("n_table").isNull()).drop("n_table")
-    candidates = with_statement_type(parse_lines(with_statement_type(rest, types), ref_year), types)
+    rest = attach(lines, undecided, ["statement_id"], _place(), counted=types, weight="n_lines", how="inner")
+    candidates = cut_lineage(parse_lines(rest, ref_year))
     found = candidates.groupBy("statement_id").agg(
         F.count(F.when(F.col("priority") == 1, 1)).alias("n_text"), F.count(F.when(F.col("priority") == 2, 1)).alias("n_block")
     )
