@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly", "scalars", "statements"]
+MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports"]
 
 
 def load_all() -> None:
