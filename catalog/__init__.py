@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports"]
+MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports", "detectors", "ml"]
 
 
 def load_all() -> None:
