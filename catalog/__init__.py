@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports", "detectors", "ml"]
+MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports", "detectors", "ml", "streams"]
 
 
 def load_all() -> None:
