@@ -59,12 +59,19 @@ def amount_zscore(df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
 
 
 def _amount_cell(amount: Column) -> Column:
-    """A rank-preserving coarse value: the amount cut to four leading digits."""
-    size = F.when(amount == 0, F.lit(0.0)).otherwise(F.floor(F.log10(F.nullif(F.abs(amount), F.lit(0.0)))))
-    unit = F.pow(F.lit(10.0), size - 3)
-    # Cells order by power of ten first, so a rounding slip at a power of ten cannot swap two cells.
-    sign = F.signum(amount)
-    return F.struct(sign.alias("s"), (sign * size).alias("p"), F.floor(amount / unit).alias("d"))
+    """A coarse number that orders like the amount: power of ten and three leading digits, with its sign.
+
+    The power of ten weighs more than any digits, so a rounding slip at a power of ten cannot swap two cells.
+    """
+    size = F.abs(amount)
+    power = F.floor(F.log10(F.nullif(size, F.lit(0.0))))
+    digits = F.floor(size / F.pow(F.lit(10.0), power - 2))
+    return F.coalesce((F.signum(amount) * ((power + 400) * 100_000 + digits)).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _amounts(df: DataFrame) -> DataFrame:
+    """Rows per (user, category, amount)."""
+    return df.where(F.col("amount").isNotNull()).groupBy(*GROUP, "amount").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def amount_percentiles(df: DataFrame) -> DataFrame:
@@ -72,12 +79,7 @@ def amount_percentiles(df: DataFrame) -> DataFrame:
 
     Ranks accumulate inside cells of near amounts and then over the cells, never over raw rows.
     """
-    amounts = (
-        df.where(F.col("amount").isNotNull())
-        .groupBy(*GROUP, "amount")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("_cell", _amount_cell(F.col("amount")))
-    )
+    amounts = _amounts(df).withColumn("_cell", _amount_cell(F.col("amount")))
     below_cell = Window.partitionBy(*GROUP).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         amounts.groupBy(*GROUP, "_cell")
@@ -91,17 +93,14 @@ def amount_percentiles(df: DataFrame) -> DataFrame:
     return (
         amounts.withColumn("_lower", F.coalesce(F.sum("n_rows").over(inside), F.lit(0)))
         .join(cells, [*GROUP, "_cell"])
-        .select(*GROUP, "amount", "n_rows", (rank / F.col("_total")).alias("category_percentile"))
+        .select(*GROUP, "amount", (rank / F.col("_total")).alias("category_percentile"))
     )
 
 
 def category_percentile(df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
     """Average rank of an amount in its group over the group size; 0.5 without a group or an amount."""
-    ranks = amount_percentiles(df)
-    joined = attach(df, ranks, [*GROUP, "amount"], F.col(row_id), counted=ranks)
-    return joined.drop("n_rows").withColumn(
-        "category_percentile", F.coalesce("category_percentile", F.lit(0.5))
-    )
+    joined = attach(df, amount_percentiles(df), [*GROUP, "amount"], F.col(row_id), counted=_amounts(df))
+    return joined.withColumn("category_percentile", F.coalesce("category_percentile", F.lit(0.5)))
 
 
 def _with_week_counts(df: DataFrame, cell_table: DataFrame, tie: str, ts: str) -> DataFrame:

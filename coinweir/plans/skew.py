@@ -24,11 +24,11 @@ HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
 
 
-def hot_keys(counted: DataFrame, keys: Sequence[str], weight: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def hot_keys(counted: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Keys above 1/HOT_SHARE of the total weight: at most HOT_SHARE rows whatever the input size."""
     total = counted.agg(F.sum(weight).alias("total")).scalar()
     return counted.where(
-        (F.col(weight) >= min_rows) & (F.col(weight) * HOT_SHARE > total)
+        (F.col(weight) >= HOT_MIN_ROWS) & (F.col(weight) * HOT_SHARE > total)
     ).select(*keys)
 
 
@@ -40,7 +40,6 @@ def attach(
     counted: DataFrame | None = None,
     weight: str = "n_rows",
     how: str = "left",
-    min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Join `rows` to one `lookup` row per key, salting the hot keys.
 
@@ -50,7 +49,7 @@ def attach(
     keys = list(keys)
     if counted is None:
         counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
-    hot = F.broadcast(hot_keys(counted, keys, weight, min_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(counted, keys, weight).withColumn("_hot", F.lit(True)))
     salted = (
         rows.join(hot, keys, "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
