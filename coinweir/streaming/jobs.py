@@ -44,8 +44,13 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 
 
 def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str = "created_at", delay: str = "1 day") -> DataFrame:
-    """First row of each key among rows no further apart than `delay`."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    """First row of each key and day; repeats are recognised while they arrive within `delay`.
+
+    The day is part of the key: state outlives `delay` until a batch evicts it, and a later charge of the same
+    key must not be taken for a repeat meanwhile.
+    """
+    dated = stream.withColumn("_day", F.to_date(ts)).withWatermark(ts, delay)
+    return dated.dropDuplicatesWithinWatermark([*keys, "_day"]).drop("_day")
 
 
 def stream_freq_windows(
