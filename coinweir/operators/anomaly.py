@@ -77,7 +77,8 @@ def _near(reference: Column) -> Column:
 def safeguard_rule() -> Column:
     """First safeguard that applies, null when the model has to decide."""
     return (
-        F.when(F.col("n_expense") < V.COLD_START_TOTAL, "cold_start_total")
+        F.when(F.col("amount").isNull(), "unusable_row")
+        .when(F.col("n_expense") < V.COLD_START_TOTAL, "cold_start_total")
         .when(F.col("n_category") < V.COLD_START_CATEGORY, "cold_start_category")
         .when(F.col("same_amount"), "same_amount")
         .when(_near(F.col("category_mean")) | _near(F.col("category_max")), "tolerance")
@@ -87,7 +88,8 @@ def safeguard_rule() -> Column:
 def anomaly_safeguards(batch: DataFrame, history: DataFrame, n: int = V.HISTORY_ROWS) -> DataFrame:
     """`safeguard` names the rule; `anomaly_status` is its outcome, null where the model decides."""
     checked = batch_against_history(batch, history, n).withColumn("safeguard", safeguard_rule())
-    status = F.when(F.col("safeguard").startswith("cold_start"), "insufficient_history").when(
+    unknown = F.col("safeguard").isin("unusable_row", "cold_start_total", "cold_start_category")
+    status = F.when(unknown, "insufficient_history").when(
         F.col("safeguard").isNotNull(), "normal"
     )
     return checked.withColumn("anomaly_status", status)

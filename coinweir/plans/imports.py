@@ -11,6 +11,7 @@ from coinweir.operators import anomaly as A
 from coinweir.operators import cache as C
 from coinweir.operators import validation
 from coinweir.plans.skew import attach, sorted_index
+from coinweir.session import cut_lineage
 
 STORED = [
     "id", "user_id", "merchant", "amount", "notes", "transaction_type", "category_id", "category_name", "confidence",
@@ -68,9 +69,12 @@ def import_transactions(
     """
     owned, rejected = C.owner_check(rows, uploads)
     checked = validation.validate_import_rows(owned)
-    good = validation.good_rows(checked).withColumn("normalized_merchant", normalize_merchant("description"))
+    # Keyed rows and classified rows are each read several times below, so each is written once.
+    good = cut_lineage(
+        validation.good_rows(checked).withColumn("normalized_merchant", normalize_merchant("description"))
+    )
     place = F.struct("upload_id", "row_no")
-    classified = C.broadcast_results_back(good, C.merge_results(cache, answers), place)
+    classified = cut_lineage(C.broadcast_results_back(good, C.merge_results(cache, answers), place))
     kind = "transaction_type" if type_source == "sign" else "answer_type"
     requests = classified.select(
         F.col("normalized_category").alias("normalized_name"),

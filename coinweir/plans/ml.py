@@ -63,7 +63,8 @@ def standard_scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> D
         return stats.select(name).scalar()
 
     def scaled(name: str) -> Column:
-        return (F.col(name) - stat(f"{name}_mean")) / F.coalesce(F.nullif(stat(f"{name}_std"), F.lit(0.0)), F.lit(1.0))
+        spread = F.coalesce(F.nullif(stat(f"{name}_std"), F.lit(0.0)), F.lit(1.0))
+        return F.coalesce((F.col(name) - stat(f"{name}_mean")) / spread, F.lit(0.0))  # a missing value is an average one
 
     return df.withColumns({name: scaled(name) for name in columns})
 

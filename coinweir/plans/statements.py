@@ -63,10 +63,15 @@ def _place() -> Column:
     return F.struct("page_no", "line_no")
 
 
-def with_statement_type(rows: DataFrame, types: DataFrame) -> DataFrame:
-    """Rows with their statement's type; statements with very many lines are salted."""
+def with_statement_type(rows: DataFrame, types: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Rows with their statement's type; statements with very many rows (`n_lines`) are salted."""
     typed = attach(
-        rows, types.select("statement_id", "statement_type"), ["statement_id"], _place(), counted=types, weight="n_lines"
+        rows,
+        types.select("statement_id", "statement_type"),
+        ["statement_id"],
+        _place(),
+        counted=types if counted is None else counted,
+        weight="n_lines",
     )
     return typed.withColumn("statement_type", F.coalesce("statement_type", F.lit("unknown")))
 
@@ -386,7 +391,10 @@ def parse_statements(lines: DataFrame, tables: DataFrame, ref_year: int) -> tupl
     """
     # One row per statement, one row per candidate: written once, read by every step below.
     types = cut_lineage(statement_types(lines))
-    from_tables = cut_lineage(finalize_statement(with_statement_type(parse_tables(tables, ref_year), types)))
+    table_sizes = tables.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    from_tables = cut_lineage(
+        finalize_statement(with_statement_type(parse_tables(tables, ref_year), types, table_sizes))
+    )
     by_table = from_tables.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_table"))
     undecided = types.join(by_table, "statement_id", "left_anti").select("statement_id", "statement_type")
     # Statements decided by their tables need no text work at all.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -81,9 +82,11 @@ def stream_burst_sessions(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        return None
 
 
 class ImportStream:
@@ -115,13 +118,14 @@ class ImportStream:
 
     def _snapshot(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame:
         """Cache and categories are written whole by every batch; the batch before has the latest."""
-        path = self._path(table, batch_id - 1)
-        return spark.read.parquet(path) if batch_id > 0 and _exists(spark, path) else self.first[table]
+        written = _read_if_written(spark, self._path(table, batch_id - 1))
+        return self.first[table] if written is None else written
 
     def _stored(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What was stored at the start and by the batches before this one."""
         stored = self.first["transactions"].select(*STORED)
-        paths = [p for p in (self._path("transactions", i) for i in range(batch_id)) if _exists(spark, p)]
-        return stored.unionByName(spark.read.parquet(*paths).select(*STORED)) if paths else stored
+        written = _read_if_written(spark, f"{self.root}/transactions")
+        return stored if written is None else stored.unionByName(written.where(F.col("batch") < batch_id).select(*STORED))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

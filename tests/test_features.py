@@ -89,6 +89,11 @@ def test_safeguards_in_order(spark):
     assert verdict(spark, history_rows(12, kind="income"), 500.0).safeguard == "cold_start_total"
 
 
+def test_row_without_amount_is_not_scored(spark):
+    r = verdict(spark, history_rows(12), None)
+    assert (r.safeguard, r.anomaly_status) == ("unusable_row", "insufficient_history")
+
+
 def test_history_keeps_the_newest_200(spark):
     r = verdict(spark, history_rows(300), 5000.0)
     assert r.n_expense == 200 and r.category_max == 309.0

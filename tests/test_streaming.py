@@ -49,3 +49,15 @@ def test_import_stream_is_idempotent(spark):
     job(events, 0)  # the same batch again, as after a lost driver
     after = job.read(spark, "transactions").select("upload_id", "row_no", "merchant").collect()
     assert sorted(before) == sorted(after)
+
+
+def test_later_batches_see_earlier_ones(spark):
+    """Two batches number rows without a gap, and the second one counts what is older than the first."""
+    job = streams.import_stream(spark, "/root/testdata/sf0.001")
+    events = spark.read.schema(streams.schemas.EVENTS).parquet("/root/testdata/sf0.001/events.parquet")
+    first = job.read(spark, "transactions").agg(F.max("id").alias("m"), F.count("*").alias("n")).first()
+    job(events, 1)
+    both = job.read(spark, "transactions")
+    assert both.where("batch = 1").agg(F.min("id")).first()[0] == first.m + 1
+    late = job.read(spark, "late").where("batch = 1").first()
+    assert late.n_rows == first.n and 0 < late.n_late < first.n
