@@ -124,13 +124,15 @@ def net_balance(txns: DataFrame) -> DataFrame:
 
 def category_breakdown(txns: DataFrame) -> DataFrame:
     """Expense per user and category; the share is of the unrounded total, the name that of the newest row."""
-    per_category = (
+    # By name first: sums and a latest time fit a hash aggregation, a name carried along would mean sorting every row.
+    per_name = (
         txns.where(F.col("transaction_type") == "expense")
-        .groupBy("user_id", "category_id")
-        .agg(
-            F.sum("amount").alias("_amount"),
-            F.max_by("category_name", F.struct(*NEWEST_FIRST)).alias("category_name"),
-        )
+        .groupBy("user_id", "category_id", "category_name")
+        .agg(F.sum("amount").alias("_amount"), F.max("created_at").alias("_last"))
+    )
+    per_category = per_name.groupBy("user_id", "category_id").agg(
+        F.sum("_amount").alias("_amount"),
+        F.max_by("category_name", F.struct("_last", "category_name")).alias("category_name"),
     )
     # One row per category from here on: the windows never see raw transactions.
     total = F.sum("_amount").over(Window.partitionBy("user_id"))
