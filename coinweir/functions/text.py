@@ -50,8 +50,9 @@ def normalize_merchant(raw: str | Column) -> Column:
     tlds = any_of(V.TOP_LEVEL_DOMAINS)
     text = F.translate(F.coalesce(_col(raw), F.lit("")), "*", " ")
     host = rf"{TEXT_FLAGS}\b(?:\w+\.)*(?!(?:{tlds})\b)(\w+)(?:\.(?:{tlds}))+\b"
-    text = F.regexp_replace(text, host, " $1 ")
-    text = F.regexp_replace(text, rf"{TEXT_FLAGS}\b(?:{tlds})(?:\.(?:{tlds}))+\b", " ")
+    branded = F.regexp_replace(text, host, " $1 ")
+    branded = F.regexp_replace(branded, rf"{TEXT_FLAGS}\b(?:{tlds})(?:\.(?:{tlds}))+\b", " ")
+    text = F.when(F.contains(text, F.lit(".")), branded).otherwise(text)  # no host without a dot
     text = F.regexp_replace(text, rf"{TEXT_FLAGS}\b(?:{any_of(V.STORE_WORDS)})\s*\d+\b", " ")
     text = F.regexp_replace(text, r"(?U)#\S+", " ")
     text = F.lower(F.regexp_replace(text, r"(?U)\b\d+\b", " "))
