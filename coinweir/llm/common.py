@@ -14,6 +14,7 @@ from coinweir.session import fresh_path
 GROUP_BYTES = 4 << 20  # text handled at once inside a task; a longer document is handled alone
 # Unicode white space, for a character class of re or regex
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BATCH_ROWS = 1_000  # rows handed to a step at once
 FILTER_BITS = 24  # a bit map has 2**24 bits, 2 MB, however many keys are put in
 
 
@@ -38,7 +39,7 @@ def in_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]],
     fields = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             for made in step(batch):
                 yield pa.RecordBatch.from_arrays([_as(made[f.name], f.type) for f in fields], schema=fields)
 
@@ -94,7 +95,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for the common ones (a bounded number)."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}

@@ -20,18 +20,13 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(),
         "links",
     )
-    found = written(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node"), F.col("a").alias("top")), "nodes")
-    turn = 0
+    rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        turn += 1
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("id"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = written(
-            both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["id"].alias("to")), "points"
-        )
-        found = written(
-            found.join(points, found["top"] == points["a"], "left").select("node", F.coalesce("to", "top").alias("top")), "nodes"
-        )
+        nearest = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
+        points = written(nearest.select("a", F.least("m", rank("a"))["id"].alias("to")), "points")
+        rounds.append(points)
         edges = written(
             edges.join(points.withColumnRenamed("to", "ta"), "a")
             .join(points.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
@@ -40,5 +35,11 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             .distinct(),
             "links",
         )
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = rounds[0].select(F.col("a").alias("node"), F.col("to").alias("top"))
+    for points in rounds[1:]:
+        found = found.join(points, found["top"] == points["a"], "left").select("node", F.coalesce("to", "top").alias("top"))
+    found = written(found, "tops")
     smallest = found.groupBy("top").agg(F.min("node").alias("root"))
     return found.join(smallest, "top").select("node", "root")

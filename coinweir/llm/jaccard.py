@@ -7,9 +7,11 @@ Tokens are word shingles. Sets that are equal form a class at once, by their fin
   of either: these prefixes are joined.
 * Orders B and C put shingles by two hashes. A candidate must share prefix shingles under these too; the prefixes
   are intersected before the sets are.
-* Within one prefix shingle the sets are first compared with one of them, the leader. Those links are merged to
-  components, and only sets outside the shingle's largest component are then compared with all others. A group
-  of near copies so costs rows in proportion to its size, and no link between components is lost.
+* A set is first compared with one other, the most central of those that lead one of its prefix shingles; central
+  are sets whose own prefix is shared by many. Links merge sets to components. Sets outside the largest component
+  of a shingle are then compared with its most central member, and what is left after that with all sets of other
+  components. A group of near copies so costs rows in proportion to its size, and no link between components is
+  lost. Places in the prefixes bound what two sets can have in common (positional filter).
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def count_table(docs: DataFrame, n: int) -> bytes:
+def count_table(docs: DataFrame, n: int) -> np.ndarray:
     """For each cell the documents that have a shingle of it, as 8 * log2: 2**COUNT_BITS bytes.
 
     Tasks send the cells that they met, two bytes each, to an owner of a range of cells, of which there is one for
@@ -53,7 +55,7 @@ def count_table(docs: DataFrame, n: int) -> bytes:
 
     def send(batch):
         raw = text_bytes(batch)
-        for a, b in groups([len(t or b"") for t in raw], 16 << 20):
+        for a, b in groups([len(t or b"") for t in raw]):
             cells = np.sort(np.concatenate([_cells(shingle_set(t, n)) for t in raw[a:b]]))
             owner = cells >> _RANGE_BITS
             ends = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) + 1 if len(cells) else []
@@ -80,10 +82,10 @@ def count_table(docs: DataFrame, n: int) -> bytes:
     sent = in_batches(docs, send, "range int, owner int, cells binary")
     added = sent.groupBy("range", "owner").applyInArrow(add, "range int, sums binary")
     found = added.groupBy("range").applyInArrow(finish, "range int, steps binary").toArrow()
-    table = bytearray(1 << COUNT_BITS)
+    table = np.zeros(1 << COUNT_BITS, np.uint8)
     for key, steps in zip(found.column("range").to_pylist(), found.column("steps"), strict=True):
-        table[key << _RANGE_BITS : (key + 1) << _RANGE_BITS] = steps.as_py()
-    return bytes(table)
+        table[key << _RANGE_BITS : (key + 1) << _RANGE_BITS] = np.frombuffer(steps.as_buffer(), np.uint8)
+    return table
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -98,7 +100,7 @@ def _first_by(order: np.ndarray, tokens: np.ndarray, k: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     """Written rows of two kinds: for each document (doc_id, cls, n) without token; for each class met in a task
-    (token, cls, n) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set."""
+    (token, cls, n, at) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set."""
     shared = docs.sparkSession.sparkContext.broadcast(count_table(docs.select("text"), n))
 
     def step(batch, met={}):  # noqa: B006  classes of this task whose prefix is sent
@@ -108,7 +110,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
         if task not in met:
             met.clear()
             met[task] = set()
-        counts, seen = np.frombuffer(shared.value, np.uint8), met[task]
+        counts, seen = shared.value, met[task]
         sizes, names, rows, tokens = [], [], [], []
         for text in text_bytes(batch):
             s = shingle_set(text, n)
@@ -119,10 +121,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 seen.add((name, len(s)))
                 k = prefix_length(len(s), percent)
                 order = (counts[_cells(s)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
-                first = _first_by(order, s, k)
+                first = s[np.argsort(order)[:k]]
                 tokens.append(first.view(np.int64))
                 rows.append((name, len(s), len(first)))
-        yield {"doc_id": batch.column(0), "token": pa.nulls(len(sizes), pa.int64()), "cls": names, "n": sizes}
+        yield {"doc_id": batch.column(0), "token": pa.nulls(len(sizes), pa.int64()), "cls": names, "n": sizes, "at": pa.nulls(len(sizes), pa.int32())}
         if rows:
             per = np.array([r[2] for r in rows])
             yield {
@@ -130,9 +132,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 "token": np.concatenate(tokens),
                 "cls": np.repeat(np.array([r[0] for r in rows], np.int64), per),
                 "n": np.repeat(np.array([r[1] for r in rows], np.int64), per),
+                "at": np.concatenate([np.arange(k) for k in per]),
             }
 
-    return written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int"), "prefixes")
+    return written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int, at int"), "prefixes")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
@@ -163,8 +166,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
 
 
-def _length_bound(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Length and position bounds for rows of one shingle, columns n<a>, at<a>, n<b>, at<b>.
+
+    If the shingle is the first that both prefixes have, the sets have no more in common than what follows it in
+    either. A row for a later shingle may fail where the pair is good; the row of the first one does not.
+    """
+    na, nb, ia, ib = (F.col(x).cast("bigint") for x in (f"n{a}", f"n{b}", f"at{a}", f"at{b}"))
+    length = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return length & (F.least(na - ia, nb - ib) * (100 + percent) >= (na + nb) * percent)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
@@ -183,6 +193,26 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, kind: str)
     return written(joined.select("a", "b"), "links")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep", "rep_l").alias("a"), F.greatest("rep", "rep_l").alias("b")).distinct()
+
+
+def _placed(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefix rows with the component of their set (top), and for each shingle that several components have
+    the largest one (main)."""
+    placed = shared.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("top", F.coalesce("root", "rep")).drop("root")
+    placed = written(placed, "placed")
+    main = (
+        placed.groupBy("token", "top")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("token")
+        .agg(F.max(F.struct("size", "top"))["top"].alias("main"), F.count(F.lit(1)).alias("tops"))
+        .where("tops > 1")
+        .select("token", "main")
+    )
+    return placed, main
+
+
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -199,47 +229,55 @@ def jaccard_components(
     members = made.where("token IS NULL").select("doc_id", "cls", "n")
     named = members.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    tokens = made.where("token IS NOT NULL").select("token", "cls", "n")
-
-    # shingles that only one class has can link nothing; of the others one class leads
-    leaders = tokens.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"), F.max(F.struct("cls", "n")).alias("last")).where("lead <> last")
-    shared = tokens.join(leaders.select("token", "lead"), "token").distinct()
-    rep = classes.select("cls", "n", "rep")
-    shared = written(
-        shared.join(rep, ["cls", "n"]).join(rep.select(F.struct("cls", "n").alias("lead"), F.col("rep").alias("lead_rep"), F.col("n").alias("lead_n")), "lead"),
-        "shared",
-    )
+    tokens = made.where("token IS NOT NULL").select("token", "cls", "n", "at")
+
+    # shingles that only one class has can link nothing
+    sizes = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("size"))
+    shared = tokens.join(sizes.where("low <> high").select("token", "size"), "token").distinct()
+    shared = written(shared.join(classes, ["cls", "n"]).select("token", "rep", "n", "at", "size"), "shared")
+    weights = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    shared = written(shared.drop("size").join(weights, "rep"), "weighed")
+
+    # each set with the most central leader of its shingles
+    central = F.max(F.struct(F.col("weight"), F.col("rep"), F.col("n").alias("nl"), F.col("at").alias("atl"))).alias("lead")
+    led = shared.join(shared.groupBy("token").agg(central).select("token", "lead.*").toDF("token", "weight_l", "rep_l", "nl", "atl"), "token")
     star = (
-        shared.where("rep <> lead_rep")
-        .where(_length_bound("n", "lead_n", percent))
-        .select(F.least("rep", "lead_rep").alias("a"), F.greatest("rep", "lead_rep").alias("b"))
-        .distinct()
+        led.withColumnsRenamed({"n": "nx", "at": "atx"})
+        .where((F.col("rep") != F.col("rep_l")) & _may_link("x", "l", percent))
+        .groupBy("rep")
+        .agg(F.max(F.struct("weight_l", "rep_l"))["rep_l"].alias("rep_l"))
     )
-    links = verified(written(star, "pairs"), docs, words, percent, kind)
-    first = components(links)
-
-    # pairs of different components: one of them lies outside the shingle's largest component
-    placed = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "token", "rep", "n", F.coalesce("root", "rep").alias("top"), (F.col("rep") == F.col("lead_rep")).alias("leads")
+    links = verified(written(_ordered(star), "pairs"), docs, words, percent, kind)
+    # then with the most central member of each shingle's largest component
+    placed, main = _placed(shared, components(links))
+    heads = (
+        placed.join(main, "token")
+        .where("top = main")
+        .groupBy("token", "main")
+        .agg(central)
+        .select("token", "main", "lead.*")
+        .toDF("token", "main", "weight_l", "rep_l", "nl", "atl")
     )
-    placed = written(placed, "placed")
-    main = (
-        placed.groupBy("token", "top")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("token")
-        .agg(F.max(F.struct("size", "top"))["top"].alias("main"), F.count(F.lit(1)).alias("tops"))
-        .where("tops > 1")
-        .select("token", "main")
+    near = (
+        placed.join(heads, "token")
+        .where("top <> main")
+        .withColumnsRenamed({"n": "nx", "at": "atx"})
+        .where(_may_link("x", "l", percent))
+        .groupBy("rep", "main")
+        .agg(F.max(F.struct("weight_l", "rep_l"))["rep_l"].alias("rep_l"))
     )
-    outside = placed.join(main, "token").where("top <> main AND NOT leads").select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("top").alias("tx"))
+    links = written(links.unionByName(verified(written(_ordered(near), "pairs"), docs, words, percent, kind)), "links")
+
+    # pairs of different components: one of them lies outside the shingle's largest component
+    placed, main = _placed(shared, components(links))
+    outside = placed.join(main, "token").where("top <> main").select("token", *(F.col(c).alias(f"{c}x") for c in ("rep", "n", "at", "top")))
     rest = (
-        outside.join(placed.where("NOT leads"), "token")
-        .where(F.col("tx") != F.col("top"))
-        .where(_length_bound("n", "nx", percent))
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
+        outside.join(placed.select("token", *(F.col(c).alias(f"{c}y") for c in ("rep", "n", "at", "top"))), "token")
+        .where(F.col("topx") != F.col("topy"))
+        .where(_may_link("x", "y", percent))
+        .select(F.col("repx").alias("rep"), F.col("repy").alias("rep_l"))
     )
-    more = verified(written(rest, "pairs"), docs, words, percent, kind)
+    more = verified(written(_ordered(rest), "pairs"), docs, words, percent, kind)
     found = components(links.unionByName(more))
 
     shown = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("root", "rep").alias("component_id"))
