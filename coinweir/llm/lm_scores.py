@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,11 @@ from coinweir.llm.common import WORD_HASHES, arrow_schema, mix, text_bytes, writ
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 2_000_000  # a longer document is a block alone
+BLOCK_WORDS = 1_000_000  # a longer document is a block alone
 BUCKET_ENTRIES = 1_500_000  # distinct n-grams that a bucket is meant to own
 MIN_COUNT = 2  # rarer n-grams of two words and more are not in the model
-_PREFIX = np.uint64((1 << 40) - 1)
+KEY_BYTES = 5  # of a hash inside its bucket
+_LOW = np.uint64((1 << 8 * KEY_BYTES) - 1)
 _ONE = np.uint64(1)
 
 
@@ -38,8 +40,11 @@ def pack_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
         def block():
             nonlocal ids, parts, total, made
-            words, places = np.unique(np.concatenate(parts), return_inverse=True)
-            columns = [[(part << 32) + made], [total], [ids], [np.array(list(map(len, parts)), "<u4").tobytes()], [words.tobytes()], [places.astype("<u4").tobytes()]]
+            words, places, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            by = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+            number = np.empty(len(by), np.int64)
+            number[by] = np.arange(len(by))
+            columns = [[(part << 32) + made], [total], [ids], [np.array(list(map(len, parts)), "<u4").tobytes()], [words[by].tobytes()], [_packed(number[places] if total else number, 4)]]
             made, ids, parts, total = made + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -59,7 +64,7 @@ def pack_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def _ngrams(row, order: int) -> list[np.ndarray]:
     """For n = 1..order the hash of the n-gram that ends at each word; 0 where the document has no such one."""
-    places = np.frombuffer(row["places"], "<u4")
+    places = _whole(row["places"], 4).astype(np.int64)
     h = np.frombuffer(row["words"], np.uint64)[places]
     lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
     at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # place inside the document
@@ -73,19 +78,25 @@ def _ngrams(row, order: int) -> list[np.ndarray]:
     return out
 
 
-def _asked(row, order: int, buckets: int):
-    """Of each order: the distinct hashes sorted by bucket and low bits, their counts, the buckets' ends, and the number of
-    each word's n-gram among them (-1 for none)."""
+def _asked(row, order: int, buckets: int, numbers: bool):
+    """Of each order: the distinct hashes sorted by bucket and low bits, their counts and the buckets' ends; with
+    `numbers` also the number of each word's n-gram among them (-1 for none)."""
     for h in _ngrams(row, order):
-        keys, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+        if numbers:
+            keys, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+        else:
+            keys, counts = np.unique(h, return_counts=True)
         owner = (keys >> np.uint64(40)).astype(np.int64) % buckets
         owner[keys == 0] = -1
-        by = np.lexsort((keys & _PREFIX, owner))
-        rank = np.empty(len(by), np.int64)
+        by = np.lexsort((keys & _LOW, owner))
         none = int((owner == -1).sum())
-        rank[by] = np.arange(len(by)) - none
+        rank = None
+        if numbers:
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by)) - none
+            rank = rank[back] if len(back) else back
         by = by[none:]
-        yield keys[by], counts[by], np.searchsorted(owner[by], np.arange(buckets + 1)), rank[back] if len(back) else back
+        yield keys[by], counts[by], np.searchsorted(owner[by], np.arange(buckets + 1)), rank
 
 
 def score_documents(
@@ -112,9 +123,9 @@ def score_documents(
     def ask(frames):
         for frame in frames:
             for row in frame.to_dict("records"):
-                for n, (keys, counts, ends, _) in enumerate(_asked(row, order, buckets), 1):
-                    low, c = keys & _PREFIX, counts.astype("<u4")
-                    pieces = [(b, n, row["block"], _planes(low[x:y]), _planes(c[x:y], 4)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+                for n, (keys, counts, ends, _) in enumerate(_asked(row, order, buckets, False), 1):
+                    low = keys & _LOW
+                    pieces = [(b, n, row["block"], _packed(low[x:y]), _packed(counts[x:y], 4)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
                     yield pd.DataFrame(pieces, columns=["bucket", "n", "block", "keys", "counts"])
 
     def answer(frame):
@@ -128,7 +139,7 @@ def score_documents(
             sums = np.bincount(back, np.concatenate([counts[i] for i in mine]))[back].astype("<u8")
             ends = np.cumsum([len(keys[i]) for i in mine])
             for i, s in zip(mine, np.split(sums, ends[:-1]), strict=True):
-                out[i] = _planes(s, 8)
+                out[i] = _packed(s, 8)
         return pd.DataFrame({"block": frame["block"], "n": frame["n"], "bucket": frame["bucket"], "sums": out})
 
     def score(_, block, replies):
@@ -139,7 +150,7 @@ def score_documents(
             ends = np.cumsum(lengths)
             logs = np.zeros(int(lengths.sum()))
             shorter = None
-            for n, (keys, _, _, back) in enumerate(_asked(row, order, buckets), 1):
+            for n, (keys, _, _, back) in enumerate(_asked(row, order, buckets, True), 1):
                 sums = [_whole(answers[(n, b)], 8) for b in range(buckets) if (n, b) in answers]
                 sums = np.append(np.concatenate(sums) if sums else np.zeros(0), 1).astype(float)
                 count = np.where(back >= 0, sums[back], 0.0)
@@ -165,18 +176,18 @@ def score_documents(
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
 
-def _planes(values: np.ndarray, width: int = 5) -> bytes:
-    """Bytes of whole numbers, plane by plane: sorted keys by their differences, so that the shuffle's
-    compression finds the empty high bytes."""
+def _packed(values: np.ndarray, width: int = KEY_BYTES) -> bytes:
+    """Whole numbers as compressed planes of their bytes, so that empty high bytes cost nothing; keys, which are
+    sorted, by their differences."""
     v = values.astype("<u8")
-    if width == 5 and len(v):
+    if width == KEY_BYTES and len(v):
         v = np.diff(v, prepend=np.uint64(0))
-    return v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def _whole(raw: bytes, width: int = 5) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+def _whole(raw: bytes, width: int = KEY_BYTES) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
     full = np.zeros((planes.shape[1], 8), np.uint8)
     full[:, :width] = planes.T
     v = full.reshape(-1).view("<u8")
-    return np.cumsum(v, dtype=np.uint64) if width == 5 else v
+    return np.cumsum(v, dtype=np.uint64) if width == KEY_BYTES else v

@@ -2,8 +2,9 @@
 
 DataFrame functions only. URLs that rules allow and block are the accepted and rejected examples. Each class has a
 variable-order Markov model of its characters: counts of 1 to 3 symbols, each order smoothed with the next shorter
-one. As the alphabet is fixed, the log ratio of both models is one array of ALPHABET_SIZE ** 3 numbers, whatever the
-input. A URL's score is the mean of its symbols' log ratios; the limit lies between the scores of both classes.
+one. As the alphabet is fixed, the log ratio of both models is a table of ALPHABET_SIZE ** 3 rows, whatever the
+input, so that it may be broadcast. A URL's score is the mean of its symbols' log ratios; the limit lies between the
+scores of both classes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coinweir.llm.common import written
+
 # symbols of a URL in lower case; 0 stands for every digit, what is not listed counts as one symbol of its own
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0-._/?=&%#:+"
 ALPHABET_SIZE = len(SYMBOLS) + 2  # place 0: other symbols; the last place: before the beginning
@@ -59,16 +62,14 @@ def trigram_codes(codes: Column) -> Column:
 
 
 def log_ratios(examples: DataFrame) -> DataFrame:
-    """One row with an array: for each symbol behind two others, log P(accepted) - log P(rejected).
+    """t and r: for each symbol behind two others, log P(accepted) - log P(rejected) in millionths.
 
-    `examples` has trigrams (array) and accepted (boolean). Counts are added up before the shuffle, so no more than
-    2 x ALPHABET_SIZE ** 3 of them leave a task.
+    `examples` has a row for each trigram t of a URL and accepted (boolean). Counts are added up before the shuffle,
+    so no more than ALPHABET_SIZE ** 3 of them leave a task. Without examples of both classes every ratio is 0.
     """
     a = ALPHABET_SIZE
     spark = examples.sparkSession
-    counts = examples.select("accepted", F.explode("trigrams").alias("t")).groupBy("t").agg(
-        F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no")
-    )
+    counts = examples.groupBy("t").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
     grid = spark.range(a**3).select(
         F.col("id").cast("int").alias("t"),
         (F.col("id") % (a * a)).cast("int").alias("bc"),
@@ -95,38 +96,35 @@ def log_ratios(examples: DataFrame) -> DataFrame:
         two = (n("bc") + SMOOTHING * one) / (n("b") + SMOOTHING)
         return F.log((F.col(kind) + SMOOTHING * two) / (n("ab") + SMOOTHING))
 
-    ratio = F.when((F.col("yes_all") > 0) & (F.col("no_all") > 0), F.round(log_p("yes") - log_p("no"), 6)).otherwise(F.lit(0.0))
-    return table.select("t", ratio.alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "r"))), lambda x: x["r"]).alias("ratios"))
+    both = (F.col("yes_all") > 0) & (F.col("no_all") > 0)
+    ratio = F.when(both, F.round((log_p("yes") - log_p("no")) * 1_000_000)).otherwise(0).cast("bigint")
+    return table.select("t", ratio.alias("r"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and score of every row.
 
-    A null URL, or one without `://`, has an empty host and path and no rule. An empty URL has score 0; it, and every
-    URL without a rule while a class has no example, is allowed. Repeated rows are judged one by one; a null id is
-    kept; other columns are not read.
+    A null URL, or one without `://`, has an empty host and path and no rule. A URL without symbols has no score; it,
+    and every URL without a rule while a class has no example, is allowed. Repeated rows are judged one by one, but a
+    URL is an example once; a null id is kept; other columns are not read.
     """
-    host, path = host_and_path(F.coalesce(F.col("url"), F.lit("")))
-    urls = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"))
-    judged = (
-        urls.withColumns({"host": host, "path": path})
-        .withColumn("match", matching_rule(F.col("host"), F.col("path"), rules))
-        .withColumn("trigrams", trigram_codes(symbol_codes(F.col("url"))))
+    urls = pages.select(F.col(id_column).alias("page_id"), F.coalesce(url_column, F.lit("")).alias("url"))
+    host, path = host_and_path(F.col("url"))
+    judged = urls.withColumns({"host": host, "path": path}).withColumn("match", matching_rule(F.col("host"), F.col("path"), rules))
+    grams = (
+        judged.select("url", (F.col("match.verdict") == "allow").alias("accepted"))
+        .distinct()
+        .select("url", "accepted", F.explode(trigram_codes(symbol_codes(F.col("url")))).alias("t"))
     )
-    examples = judged.where("match IS NOT NULL").select("trigrams", (F.col("match.verdict") == "allow").alias("accepted"))
-    ratios = log_ratios(examples).scalar()
-    mean = lambda t: F.when(F.size(t) > 0, F.aggregate(t, F.lit(0.0), lambda s, c: s + F.get(F.col("ratios"), c)) / F.size(t)).otherwise(F.lit(0.0))
-    # where the distance to both classes is the same number of standard deviations
-    spread = lambda x: F.stddev_pop(F.when(x, F.col("score"))) + 1e-9
+    model = written(log_ratios(grams.where("accepted IS NOT NULL")), "ratios")
+    scores = grams.join(F.broadcast(model), "t").groupBy("url", "accepted").agg(F.sum("r").alias("sum"), F.count(F.lit(1)).alias("n"))
+    scores = written(scores.select(F.col("url").alias("scored"), "accepted", (F.col("sum") / F.col("n") / 1_000_000).alias("score")), "scores")
+    # the limit is as many standard deviations away from either class
     yes, no = F.col("accepted"), ~F.col("accepted")
     middle = lambda x: F.avg(F.when(x, F.col("score")))
-    limit = (
-        examples.withColumn("ratios", ratios)
-        .select("accepted", F.round(mean(F.col("trigrams")), 6).alias("score"))
-        .agg(F.round((middle(yes) * spread(no) + middle(no) * spread(yes)) / (spread(yes) + spread(no)), 6).alias("limit"))
-    )
-    scored = judged.withColumn("ratios", ratios).withColumn("score", F.round(mean(F.col("trigrams")), 6))
-    method = F.when(F.size("trigrams") == 0, "allow").when(F.col("score") < F.coalesce(limit.scalar(), F.lit(float("-inf"))), "block").otherwise("allow")
-    return scored.select(
+    spread = lambda x: F.stddev_pop(F.when(x, F.col("score"))) + 1e-9
+    limit = scores.agg(((middle(yes) * spread(no) + middle(no) * spread(yes)) / (spread(yes) + spread(no))).alias("limit")).scalar()
+    method = F.when(F.col("score") < limit, "block").otherwise("allow")
+    return judged.join(scores, F.col("url") == F.col("scored"), "left").select(
         "page_id", "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", method).alias("verdict"), "score"
     )
