@@ -53,12 +53,11 @@ def symbol_codes(url: Column) -> Column:
     return F.concat(F.array(begin, begin), codes)
 
 
-def trigram_codes(codes: Column) -> Column:
-    """Number of each symbol with the two before it."""
-    a = ALPHABET_SIZE
-    return F.transform(
-        F.slice(codes, 3, F.size(codes)), lambda c, i: (F.get(codes, i) * (a * a) + F.get(codes, i + 1) * a + c).cast("int")
-    )
+def trigram_codes(codes: str) -> Column:
+    """Number of each symbol with the two before it, from a column of symbol codes."""
+    a, n = ALPHABET_SIZE, F.size(codes) - 2
+    runs = F.arrays_zip(*(F.slice(codes, k, n).alias(name) for k, name in ((1, "a"), (2, "b"), (3, "c"))))
+    return F.transform(runs, lambda x: (x["a"] * (a * a) + x["b"] * a + x["c"]).cast("int"))
 
 
 def log_ratios(examples: DataFrame) -> DataFrame:
@@ -114,7 +113,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_
     grams = (
         judged.select("url", (F.col("match.verdict") == "allow").alias("accepted"))
         .distinct()
-        .select("url", "accepted", F.explode(trigram_codes(symbol_codes(F.col("url")))).alias("t"))
+        .withColumn("codes", symbol_codes(F.col("url")))
+        .select("url", "accepted", F.explode(trigram_codes("codes")).alias("t"))
     )
     model = written(log_ratios(grams.where("accepted IS NOT NULL")), "ratios")
     scores = grams.join(F.broadcast(model), "t").groupBy("url", "accepted").agg(F.sum("r").alias("sum"), F.count(F.lit(1)).alias("n"))
