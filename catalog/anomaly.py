@@ -14,7 +14,7 @@ CUT = "2024-01-25"
 def split(txns):
     rows = R.ml_input(txns).withColumn("transaction_id", F.col("transaction_id").cast("bigint"))
     history = rows.where(F.col("transaction_date") < F.lit(CUT).cast("timestamp"))
-    batch = rows.where((F.col("transaction_date") >= F.lit(CUT).cast("timestamp")) & (F.col("transaction_type") == "expense"))
+    batch = rows.where(F.col("transaction_date") >= F.lit(CUT).cast("timestamp"))
     return batch, history
 
 
@@ -30,7 +30,7 @@ def _sides(source, cut, extra):
     b AS (SELECT * FROM txn WHERE created_at >= TIMESTAMP '{cut}' {extra})"""
 
 
-SIDES = _sides(T.TXN_EVENTS, CUT, "AND transaction_type = 'expense'")
+SIDES = _sides(T.TXN_EVENTS, CUT, "")
 ORDER_SIDES = _sides(T.TXN_ORDERS, "1998-01-01", "")
 AGAINST = """facts AS (SELECT b.id AS transaction_id, any_value(b.amount) AS amount,
     count(h.id) FILTER (h.transaction_type = 'expense') AS n_expense,
@@ -128,8 +128,7 @@ enter(
 enter(
     "history_plus_target",
     lambda s, d: A.history_plus_target(*reversed(split(T.txn_events(s, d)))).select("transaction_id", "user_id", "amount", "is_target"),
-    f"""WITH {T.TXN_EVENTS} SELECT id AS transaction_id, user_id, amount, created_at >= TIMESTAMP '{CUT}' AS is_target FROM txn
-      WHERE created_at < TIMESTAMP '{CUT}' OR transaction_type = 'expense'""",
+    f"""WITH {T.TXN_EVENTS} SELECT id AS transaction_id, user_id, amount, created_at >= TIMESTAMP '{CUT}' AS is_target FROM txn""",
 )
 enter(
     "batch_summary",

@@ -15,14 +15,14 @@ SPARK_LAYOUTS = ["MM/dd/yyyy", "yyyy-MM-dd", "MMM d, yyyy", "d MMM yyyy", "dd-MM
 
 
 def orders_with_names(s, d):
-    """Orders with a part name; 200 part keys at most are asked for, so that side is broadcast."""
-    part = T.read(s, d, "part").where("p_partkey >= 0 AND p_partkey < 200").select("p_partkey", F.upper("p_name").alias("name"))
+    """Orders with a part name."""
+    part = T.read(s, d, "part").select("p_partkey", F.upper("p_name").alias("name"))
     orders = T.read(s, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     date = F.when(F.lit(False), "")
     for i, layout in enumerate(SPARK_LAYOUTS):
         date = date.when(F.col("o_orderkey") % 8 == i, F.date_format("o_orderdate", layout))
     suffix = F.when(F.col("o_orderstatus") == "O", " CR").when(F.col("o_orderstatus") == "F", " DR").otherwise("")
-    return orders.join(F.broadcast(part), F.col("o_orderkey") % 200 == F.col("p_partkey")).select(
+    return T.with_part(orders, part).select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("statement_id"),
         (F.floor(F.col("o_orderkey") / PAGE_ORDERS) + 1).cast("bigint").alias("page_no"),
@@ -68,7 +68,7 @@ NAMED = f"""named AS (SELECT o_orderkey AS k, o_custkey AS statement_id, o_order
     (o_orderkey // 8) % 4 AS variant,
     CASE WHEN o_orderkey % 8 < 6 THEN CAST(o_orderdate AS DATE)
          WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL ELSE make_date({REF_YEAR}, month(o_orderdate), day(o_orderdate)) END AS parsed
-  FROM orders JOIN part ON o_orderkey % 200 = p_partkey)"""
+  FROM orders JOIN part ON o_orderkey % (SELECT count(*) FROM part) = p_partkey)"""
 
 
 def typed(lines):

@@ -97,6 +97,12 @@ def txn_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_part(orders: DataFrame, part: DataFrame) -> DataFrame:
+    """Each order with one part, by its key modulo the number of parts; their keys count from 0."""
+    n = part.agg(F.count(F.lit(1))).scalar()
+    return orders.withColumn("_part", F.pmod("o_orderkey", n)).join(part, F.col("_part") == F.col("p_partkey")).drop("_part")
+
+
 # ---- line items --------------------------------------------------------------------------------------------
 
 TXN_LINEITEM = """txn AS (

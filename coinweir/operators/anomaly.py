@@ -77,7 +77,7 @@ def _near(reference: Column) -> Column:
 def safeguard_rule() -> Column:
     """First safeguard that applies, null when the model has to decide."""
     return (
-        F.when(F.col("amount").isNull(), "unusable_row")
+        F.when(F.col("amount").isNull() | F.isnan("amount") | (F.abs("amount") == float("inf")), "unusable_row")
         .when(F.col("n_expense") < V.COLD_START_TOTAL, "cold_start_total")
         .when(F.col("n_category") < V.COLD_START_CATEGORY, "cold_start_category")
         .when(F.col("same_amount"), "same_amount")

@@ -34,7 +34,7 @@ def validate_import_rows(rows: DataFrame) -> DataFrame:
     )
     error = (
         F.when(F.col("description") == "", "description is empty")
-        .when(F.col("amount").isNull(), "amount is missing")
+        .when(F.col("amount").isNull() | F.isnan("amount") | (F.abs("amount") == float("inf")), "amount is missing")
         .when(F.col("amount") == 0, "amount is zero")
         .when(is_blank("transaction_date"), "empty transaction_date")
         .when(F.col("created_at").isNull(), "invalid transaction_date")

@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from coinweir.functions import fixed_values as V
 from coinweir.operators import anomaly as A
 from coinweir.operators.reports import binary_metrics
-from coinweir.plans.skew import attach, running_index, sorted_index
+from coinweir.plans.skew import running_index, sorted_index
 from coinweir.session import cut_lineage
 
 FEATURES = [*V.NUMERIC_FEATURES, *[f"{name}_enc" for name in V.CATEGORICAL_FEATURES]]
-BROADCAST_LABELS = 100_000  # a dictionary up to this many labels is broadcast, a larger one is joined with salting
 
 
 def _label(column: str) -> Column:
@@ -35,16 +34,12 @@ def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     return sorted_index(labels.unionByName(unseen).distinct(), ["label"], "code")
 
 
-def encode_join(df: DataFrame, dictionary: DataFrame, column: str, row_id: str, small: bool | None = None) -> DataFrame:
+def encode_join(df: DataFrame, dictionary: DataFrame, column: str, row_id: str) -> DataFrame:
     """`<column>_enc`: a label's code, or the code of the unseen label."""
     unseen = dictionary.where(F.col("label") == V.UNSEEN_LABEL).select("code").scalar()
     lookup = dictionary.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
     labelled = df.withColumn("_label", _label(column))
-    if small is None:
-        small = dictionary.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    joined = (
-        labelled.join(F.broadcast(lookup), "_label", "left") if small else attach(labelled, lookup, ["_label"], F.col(row_id))
-    )
+    joined = labelled.join(lookup, "_label", "left")  # Spark picks the join by measured bytes and splits hot labels
     return joined.withColumn(f"{column}_enc", F.coalesce("_code", unseen).cast("bigint")).drop("_label", "_code")
 
 

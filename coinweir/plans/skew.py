@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from coinweir.session import cut_lineage
 
 HOT_SHARE = 1000  # a key is hot above 1/1000 of all rows, so there are at most 1000 hot keys to broadcast
-HOT_MIN_ROWS = 1_000_000  # below this many rows one task copes without salting
 SALTS = 64
 
 DAY_US = 86_400_000_000
@@ -27,9 +26,7 @@ MINUTE_US = 60_000_000
 def hot_keys(counted: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Keys above 1/HOT_SHARE of the total weight: at most HOT_SHARE rows whatever the input size."""
     total = counted.agg(F.sum(weight).alias("total")).scalar()
-    return counted.where(
-        (F.col(weight) >= HOT_MIN_ROWS) & (F.col(weight) * HOT_SHARE > total)
-    ).select(*keys)
+    return counted.where(F.col(weight) * HOT_SHARE > total).select(*keys)
 
 
 def attach(

@@ -11,7 +11,7 @@ from coinweir.functions.text import strip, strip_code_fences
 
 def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled transactions from CSV, with a typed date and no schema inference."""
-    return spark.read.schema(schemas.LABELLED).csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    return spark.read.schema(schemas.LABELLED).csv(path, header=True, timestampFormat="yyyy-MM-dd[ HH:mm:ss][.SSSSSS]", escape='"', multiLine=True)
 
 
 def scan_transactions(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +21,7 @@ def scan_transactions(spark: SparkSession, path: str) -> DataFrame:
 def write_dataset(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if file_format == "csv":
-        writer.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+        writer.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", escape='"')
     else:
         writer.format(file_format).save(path)
 
@@ -41,7 +41,7 @@ def scan_statement_tables(pages: DataFrame) -> DataFrame:
 
 
 def ingest_json_rows(answers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows of cleanup answers (statement_id, chunk_no, body); an unusable answer gives its chunk's own rows.
+    """Rows of cleanup answers (statement_id, chunk_no, body); a chunk without a usable one keeps its own rows.
 
     A row without one of its fields, or with an amount that is no number, is skipped on its own.
     """
@@ -57,8 +57,8 @@ def ingest_json_rows(answers: DataFrame, chunks: DataFrame) -> DataFrame:
         F.col("r.amount").try_cast("double").alias("amount"),
         F.nullif(given, F.lit("")).alias("transaction_type"),
     ).dropna(subset=[*fields, "amount"])
-    unusable = parsed.where(F.col("_rows").isNull()).select("statement_id", "chunk_no")
-    fallback = chunks.join(unusable, ["statement_id", "chunk_no"], "left_semi").select(
+    answered = parsed.where(F.col("_rows").isNotNull()).select("statement_id", "chunk_no")
+    fallback = chunks.join(answered, ["statement_id", "chunk_no"], "left_anti").select(
         "statement_id", "chunk_no", *fields, "amount", F.lit(None).cast("string").alias("transaction_type")
     )
     return rows.unionByName(fallback)

@@ -134,7 +134,7 @@ class ImportStream:
             self.to_rows(batch), self.uploads, self._snapshot(spark, "cache", batch_id), self.answers,
             self._snapshot(spark, "categories", batch_id), stored, self.now, scorer=self.scorer,
         )
-        for table in ("transactions", "cache", "categories", "uploads", "quarantine"):
+        for table in ("transactions", "cache", "categories", "uploads", "quarantine", "rejected"):
             result[table].write.mode("overwrite").parquet(self._path(table, batch_id))
         seen = stored.agg(F.max("created_at").alias("m")).scalar() - F.expr(f"INTERVAL {self.late_after}")
         written = spark.read.parquet(self._path("transactions", batch_id))

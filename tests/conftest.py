@@ -16,11 +16,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def hot(monkeypatch):
-    """Treat every key above 1/1000 of the rows as hot, however few rows there are."""
-    from coinweir.plans import skew
-
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 0)

@@ -46,7 +46,7 @@ def test_upsert(spark):
     }
 
 
-def test_alternative_type(spark, hot):
+def test_alternative_type(spark):
     stored = cache(spark, ("u", "a", "income", "In", 0.8), ("u", "b", "income", "In", 0.8), ("u", "b", "expense", "Out", 0.8))
     rows = spark.createDataFrame([(i, "u", m, "expense") for i, m in enumerate(["a", "b", "c", ""])], "row_no long, user_id string, normalized_merchant string, transaction_type string")
     got = {r.normalized_merchant: (r.cached_type, r.category_name) for r in C.cache_join_alt_type(rows, stored, F.col("row_no")).collect()}

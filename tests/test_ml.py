@@ -29,9 +29,8 @@ def test_dictionary_order_and_unseen(spark):
     codes = {r.label: r.code for r in M.label_dictionary(df, "c").collect()}
     assert codes == {"B": 0, "__unseen__": 1, "b": 2, "unknown": 3, "~": 4}
     new = spark.createDataFrame([(1, "b"), (2, "new"), (3, None)], "id long, c string")
-    for small in (True, False):
-        got = {r.id: r.c_enc for r in M.encode_join(new, M.label_dictionary(df, "c"), "c", "id", small).collect()}
-        assert got == {1: 2, 2: 1, 3: 3}
+    got = {r.id: r.c_enc for r in M.encode_join(new, M.label_dictionary(df, "c"), "c", "id").collect()}
+    assert got == {1: 2, 2: 1, 3: 3}
 
 
 def test_scaling_without_spread(spark):

@@ -16,7 +16,7 @@ def same(left, right):
     return left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
 
 
-def test_salted_attach_equals_join(spark, hot):
+def test_salted_attach_equals_join(spark):
     rows = skewed(spark)
     lookup = rows.groupBy("key").agg(F.sum("id").alias("total"), F.count("*").alias("n"))
     for counted, weight in ((None, "n_rows"), (lookup, "n")):
@@ -24,7 +24,7 @@ def test_salted_attach_equals_join(spark, hot):
         assert same(got.select("id", "total"), rows.join(lookup, "key", "left").select("id", "total"))
 
 
-def test_attach_spreads_the_hot_key(spark, hot):
+def test_attach_spreads_the_hot_key(spark):
     rows = skewed(spark)
     keys = [r.key for r in skew.hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"], "n").collect()]
     assert "hot" in keys and len(keys) <= skew.HOT_SHARE
@@ -32,10 +32,6 @@ def test_attach_spreads_the_hot_key(spark, hot):
     assert salts.count() == skew.SALTS
 
 
-def test_no_salting_of_small_data(spark):
-    assert skew.hot_keys(skewed(spark).groupBy("key").agg(F.count("*").alias("n")), ["key"], "n").count() == 0
-
-
 def test_running_index_equals_row_number(spark):
     rows = skewed(spark)
     for down in (False, True):

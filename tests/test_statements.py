@@ -124,7 +124,7 @@ def test_strategies(spark):
     assert sorted((r.statement_id, r.description, r.amount) for r in txns.collect()) == [(1, "SHOP", -12.0), (4, "SHOP", 12.0), (5, "FROM TABLE", 3.0)]
 
 
-def test_salted_statement_join(spark, hot):
+def test_salted_statement_join(spark):
     lines = lines_of(spark, {(1, 1): BANK})
     assert P.parse_blocks(typed(lines), 2024).count() == 6
 
