@@ -1,7 +1,8 @@
 """Language identification (7): nearest of several centroids per language by cosine, with a distance limit.
 
 Texts become TF-IDF vectors of hashed byte n-grams (letters only, lower case). The model is fitted on a bounded
-sample of labelled rows; every text is then scored as a whole in the tasks that read it.
+sample of labelled rows, each language in a task of its own; every text is then scored as a whole in the tasks that
+read it.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import in_batches, text_bytes
+from coinweir.llm.common import in_batches, text_bytes, written
 
 SAMPLE_ROWS = 1_500  # labelled rows of each language that the model is fitted on
 MAX_LANGUAGES = 400  # the most frequent ones
@@ -21,6 +23,7 @@ DIMENSIONS = 1 << 12
 ROUNDS = 12
 REJECT_QUANTILE = 0.001  # share of the sample further from its centroid than the limit
 REJECT_MARGIN = 0.6  # ... which is then lowered by this factor
+SHORT_BYTES = 200  # shorter texts have a limit lower in proportion
 UNDETERMINED = "und"
 _NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _PRIMES = np.array([2654435761, 2246822519, 3266489917], np.uint64)
@@ -115,28 +118,37 @@ def fit(
 
     ids = chosen.select("doc_id", "lang").distinct()  # rows x languages at most
     sample = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
-    found = in_batches(sample, step, "lang string, counts binary").toArrow()
-    if not found.num_rows:
+    sample = written(in_batches(sample, step, "lang string, counts binary"), "sample")
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.array([np.frombuffer(c, "<u2") for c in sorted(table.column("counts").to_pylist())], np.float32)
+
+    def presence(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table({"n": [table.num_rows], "present": [(matrix(table) > 0).sum(axis=0).astype("<i8").tobytes()]})
+
+    # one row for each language, of which there are MAX_LANGUAGES at most
+    found = sample.groupBy("lang").applyInArrow(presence, "n bigint, present binary").toArrow().to_pylist()
+    if not found:
         return None
-    langs = np.array(found.column("lang").to_pylist(), object)
-    counts = np.array([np.frombuffer(c.as_py(), "<u2") for c in found.column("counts")], np.float32)
-    order = np.lexsort((counts.sum(axis=1), langs.astype(str)))
-    langs, counts = langs[order], counts[order]
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = _unit(np.log1p(counts) * idf).astype(np.float32)
-    names, rows_of = [], []
-    for k, lang in enumerate(sorted(set(langs))):
-        c = _clusters(x[langs == lang], centroids, k)
-        names += [lang] * len(c)
-        rows_of.append(c)
-    model = CentroidModel(names, idf, np.concatenate(rows_of), np.zeros(len(names)))
-    own = (x @ model.centroids.T).argmax(axis=1)
-    cosine = np.einsum("ij,ij->i", x, model.centroids[own])
-    for j in range(len(names)):
-        mine = cosine[own == j]
-        if len(mine):
-            model.limits[j] = REJECT_MARGIN * np.quantile(mine, REJECT_QUANTILE)
-    return model
+    total = sum(r["n"] for r in found)
+    idf = np.log((1 + total) / (1 + sum(np.frombuffer(r["present"], "<i8") for r in found))) + 1
+
+    def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = _unit(np.log1p(matrix(table)) * idf.astype(np.float32))
+        c = _clusters(x, centroids, 0)
+        cosine = x @ c.T
+        own = cosine.argmax(axis=1)
+        limits = [REJECT_MARGIN * float(np.quantile(cosine[own == j, j], REJECT_QUANTILE)) if (own == j).any() else 0.0 for j in range(len(c))]
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": [r.astype("<f4").tobytes() for r in c], "least": limits})
+
+    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least double").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["lang"], r["centroid"]))
+    return CentroidModel(
+        [r["lang"] for r in found],
+        idf,
+        np.array([np.frombuffer(r["centroid"], "<f4") for r in found], np.float64),
+        np.array([r["least"] for r in found]),
+    )
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -158,7 +170,7 @@ def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc
             part = rows[k : k + 256]
             best, cosine = m.nearest(np.array([counts_of(raw[i]) for i in part]))
             for i, j, c in zip(part, best, np.clip(cosine, 0, 1), strict=True):
-                langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < m.limits[j])
+                langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < m.limits[j] * min(1.0, len(raw[i]) / SHORT_BYTES))
         yield {"doc_id": batch.column(0), "lang_pred": langs, "score": scores, "rejected": refused}
 
     return in_batches(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from coinweir.llm.common import in_batches, text_bytes
 
-SAMPLE_ROWS = 3_000  # labelled rows of each label that are used
+SAMPLE_ROWS = 2_000  # labelled rows of each label that are used
 SAMPLE_BYTES = 6_000  # of each of them in a dictionary: a document gives no more than its share
 DICTIONARY_BYTES = 512 << 10
 PIECE_BYTES = 1_024
