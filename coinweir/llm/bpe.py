@@ -8,7 +8,6 @@ rising order; a merge looks only at its two neighbours and enters the pairs that
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -17,11 +16,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import SPACE, groups, in_batches, text_bytes
+from coinweir.llm.common import CHUNK, groups, in_batches, text_bytes, unknown
 
-CACHE_LIMIT = 400_000  # chunks whose ids a worker remembers
-# a match of the pattern never runs from other text into white space
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+CACHE_LIMIT = 900_000  # chunks whose ids a worker remembers
 
 
 def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -118,7 +115,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         cut = {c: [c] if c.isalpha() or (c[0] == " " and c[1:].isalpha()) else self.pattern.findall(c) for c in chunks}
         words = list({w for ws in cut.values() for w in ws})
         ids = dict(zip(words, replay([w.encode() for w in words], self.ranks), strict=True))
@@ -128,7 +125,7 @@ class Vocabulary:
         cut = [CHUNK.findall(t) for t in texts]
         if len(self.known) > CACHE_LIMIT:
             self.known.clear()
-        self.learn(set().union(*cut).difference(self.known))
+        self.learn(unknown(cut, self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,12 @@ from coinweir.session import fresh_path
 GROUP_BYTES = 4 << 20  # text handled at once inside a task; a longer document is handled alone
 # Unicode white space, for a character class of re or regex
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Pieces of a text at whose ends every match of the byte-level pattern ends too: it never joins text with white
+# space behind it, nor letters with one of these marks behind them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+CHUNK = re.compile(
+    f" ?[{_LETTERS}]+(?=[ ,.!?;:])|[{SPACE}]*(?:[{_LETTERS}]+(?=[,.!?;:])|[^{SPACE}]+)|[{SPACE}]+"
+)
 BATCH_ROWS = 1_000  # rows handed to a step at once
 FILTER_BITS = 24  # a bit map has 2**24 bits, 2 MB, however many keys are put in
 
@@ -80,6 +88,14 @@ def groups(sizes: list[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def unknown(cut: list[list[str]], known: dict) -> list[str]:
+    """Distinct pieces that are not in `known`."""
+    found: set[str] = set()
+    for pieces in cut:
+        found.update(filterfalse(known.__contains__, pieces))
+    return list(found)
+
+
 # --- hashing ---------------------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

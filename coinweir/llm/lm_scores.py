@@ -20,7 +20,7 @@ from coinweir.llm.common import WORD_HASHES, arrow_schema, mix, text_bytes, writ
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 1_000_000  # a longer document is a block alone
+BLOCK_WORDS = 1_500_000  # a longer document is a block alone
 BUCKET_ENTRIES = 1_500_000  # distinct n-grams that a bucket is meant to own
 MIN_COUNT = 2  # rarer n-grams of two words and more are not in the model
 KEY_BYTES = 5  # of a hash inside its bucket
@@ -41,10 +41,11 @@ def pack_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         def block():
             nonlocal ids, parts, total, made
             words, places, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            by = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+            # frequent words get small numbers; words about as frequent are sorted by their hashes
+            by = np.argsort(-np.frexp(counts)[1], kind="stable")
             number = np.empty(len(by), np.int64)
             number[by] = np.arange(len(by))
-            columns = [[(part << 32) + made], [total], [ids], [np.array(list(map(len, parts)), "<u4").tobytes()], [words[by].tobytes()], [_packed(number[places] if total else number, 4)]]
+            columns = [[(part << 32) + made], [total], [ids], [np.array(list(map(len, parts)), "<u4").tobytes()], [_packed(words[by], 8, True)], [_packed(number[places] if total else number, 4)]]
             made, ids, parts, total = made + 1, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -65,7 +66,7 @@ def pack_blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def _ngrams(row, order: int) -> list[np.ndarray]:
     """For n = 1..order the hash of the n-gram that ends at each word; 0 where the document has no such one."""
     places = _whole(row["places"], 4).astype(np.int64)
-    h = np.frombuffer(row["words"], np.uint64)[places]
+    h = _whole(row["words"], 8, True)[places]
     lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
     at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # place inside the document
     out, chain = [], None
@@ -125,11 +126,11 @@ def score_documents(
             for row in frame.to_dict("records"):
                 for n, (keys, counts, ends, _) in enumerate(_asked(row, order, buckets, False), 1):
                     low = keys & _LOW
-                    pieces = [(b, n, row["block"], _packed(low[x:y]), _packed(counts[x:y], 4)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+                    pieces = [(b, n, row["block"], _packed(low[x:y], KEY_BYTES, True), _packed(counts[x:y], 4)) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
                     yield pd.DataFrame(pieces, columns=["bucket", "n", "block", "keys", "counts"])
 
     def answer(frame):
-        keys = [_whole(k) for k in frame["keys"]]
+        keys = [_whole(k, KEY_BYTES, True) for k in frame["keys"]]
         counts = [_whole(c, 4) for c in frame["counts"]]
         out = [b""] * len(keys)
         for n in frame["n"].unique():
@@ -176,18 +177,18 @@ def score_documents(
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
 
 
-def _packed(values: np.ndarray, width: int = KEY_BYTES) -> bytes:
-    """Whole numbers as compressed planes of their bytes, so that empty high bytes cost nothing; keys, which are
-    sorted, by their differences."""
+def _packed(values: np.ndarray, width: int, rising: bool = False) -> bytes:
+    """Whole numbers as compressed planes of their bytes, so that empty high bytes cost nothing; rising ones by
+    their differences."""
     v = values.astype("<u8")
-    if width == KEY_BYTES and len(v):
+    if rising and len(v):
         v = np.diff(v, prepend=np.uint64(0))
     return zstandard.ZstdCompressor(level=1).compress(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def _whole(raw: bytes, width: int = KEY_BYTES) -> np.ndarray:
+def _whole(raw: bytes, width: int, rising: bool = False) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
     full = np.zeros((planes.shape[1], 8), np.uint8)
     full[:, :width] = planes.T
     v = full.reshape(-1).view("<u8")
-    return np.cumsum(v, dtype=np.uint64) if width == KEY_BYTES else v
+    return np.cumsum(v, dtype=np.uint64) if rising else v

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import SPACE, groups, in_batches, text_bytes
+from coinweir.llm.common import SPACE, groups, in_batches, text_bytes, unknown
 
 CACHE_LIMIT = 500_000  # words whose counts a worker remembers
 LIMIT = 2048
@@ -84,9 +84,9 @@ class RaggedMerger:
             sym, owner = sym[keep], owner[keep]
         return counts
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Count the tokens of chunks without white space and remember them."""
-        chunks, pieces, shares = list(chunks), [], []
+        pieces, shares = [], []
         for chunk in chunks:
             if not chunk.isascii():
                 chunk = unicodedata.normalize("NFC", chunk)
@@ -111,7 +111,7 @@ class RaggedMerger:
             cut.append(text.split() if not _ODD_SPACE.search(text) else _SPACES.findall(text))
         if len(self.known) > CACHE_LIMIT:
             self.known.clear()
-        self.learn(set().union(*cut).difference(self.known))
+        self.learn(unknown(cut, self.known))
         get = self.known.__getitem__
         return [n + sum(map(get, words)) for n, words in zip(extra, cut, strict=True)]
 

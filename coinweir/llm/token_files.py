@@ -7,8 +7,8 @@ document order, so a reader takes stripes in parallel and skips those that canno
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import SPACE, groups, in_batches, text_bytes
+from coinweir.llm.common import CHUNK, groups, in_batches, text_bytes, unknown
 
-CACHE_LIMIT = 500_000  # chunks whose ids a worker remembers
+CACHE_LIMIT = 900_000  # chunks whose ids a worker remembers
+JOINED = 200  # chunks that the library gets as one text
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 5_000
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class ChunkEncoder:
@@ -41,20 +41,42 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        for token, number in vocab.items():
+            self.width[number] = len(token)  # a byte-level token has one letter for each byte
         self.known: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks, many in a text, and cut the ids where their chunks end.
+
+        Only chunks that begin with a space and end in text are put together: there every match ends where its
+        chunk ends. Chunks with marks of special tokens go in alone, as joined they could make one.
+        """
+        alone = [c for c in chunks if c.isspace() or "<" in c or ">" in c or "|" in c]
+        self.known.update(zip(alone, self.library(alone), strict=True))
+        rest = [c for c in chunks if c not in self.known]
+        rest.sort(key=lambda c: c[0] == " ")
+        first = next((k for k, c in enumerate(rest) if c[0] == " "), len(rest))
+        self.known.update(zip(rest[:first], self.library(rest[:first]), strict=True))
+        rest = rest[first:]
+        parts = [rest[k : k + JOINED] for k in range(0, len(rest), JOINED)]
+        for part, raw in zip(parts, self.library(["".join(p) for p in parts]), strict=True):
+            ends = np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, "<u4")]), np.cumsum([len(c.encode()) for c in part])) + 1
+            start = 0
+            for chunk, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.known[chunk] = raw[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.specials) for t in texts]
         cut = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > CACHE_LIMIT:
             self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for k in range(0, len(new), 20_000):
-            self.known.update(zip(new[k : k + 20_000], self.library(new[k : k + 20_000]), strict=True))
+        self.learn(unknown(cut, self.known))
         get = self.known.__getitem__
         return [
             self.library([t])[0] if w else b"".join(map(get, chunks)) for t, w, chunks in zip(texts, whole, cut, strict=True)
@@ -105,7 +127,7 @@ def write_token_files(
     )
     (
         in_batches(ordered, step, f"doc_id {kind}, part int, part_start bigint, n_tokens bigint, ids array<int>")
-        .write.option("compression", "zstd")
+        .write.option("compression", "lz4")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.row.index.stride", ROWS_PER_INDEX)
         .option("orc.bloom.filter.columns", "doc_id")
