@@ -6,42 +6,58 @@ models of the first two stages are fitted on the raw tables in sf_dir and applie
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinweir.llm import bpe, decontam, jaccard, langid, quality
-from coinweir.llm.common import table, written
+from coinweir.llm.common import bit_map, bit_test, cell, table, written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id is in `ids`; a row without an id is in no group and stays if `ids` has a null."""
-    names = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(names, docs["doc_id"].eqNullSafe(names["kept_id"]), "left_semi")
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `ids`; rows without an id stay.
+
+    Texts are not shuffled for it: a bit map of fixed size lets rows pass that cannot be meant, and only the others
+    are joined.
+    """
+    ids = written(ids.select(F.col("doc_id").alias("dropped_id")).where("dropped_id IS NOT NULL").distinct(), "dropped")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(cell(F.col("dropped_id")).alias("c")), "c"))
+
+    def part(meant: bool):
+        def run(batches):
+            for batch in batches:
+                marked = bit_test(np.frombuffer(shared.value, np.uint8), batch.column(batch.num_columns - 1).to_numpy().astype(np.int64))
+                yield batch.select(batch.schema.names[:-1]).filter(pa.array(marked == meant))
+
+        return docs.withColumn("_place", cell(F.col("doc_id"))).mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(ids, F.col("doc_id") == F.col("dropped_id"), "left_anti"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification does not reject."""
     model = langid.fit(table(spark, sf_dir, "documents"))
-    return _only(docs, langid.identify(docs, model).where("NOT rejected"))
+    return _without(docs, langid.identify(docs, model).where("rejected"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _only(docs, quality.score(docs, model).where("predicted = 1"))
+    return _without(docs, quality.score(docs, model).where("predicted = 0"))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     found = jaccard.jaccard_components(docs)
-    return _only(docs, found.where("component_id IS NULL OR component_id = doc_id"))
+    return _without(docs, found.where("component_id <> doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("n_hit = 0"))
+    return _without(docs, found.where("n_hit > 0"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
