@@ -21,33 +21,85 @@ def expenses(txns: DataFrame) -> DataFrame:
     return txns.where(F.col("transaction_type") == "expense")
 
 
-def _look_back(keys: Sequence[str], span_us: int):
-    return Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-span_us, 0)
-
-
 def _sliced(txns: DataFrame, minutes: int) -> tuple[DataFrame, int]:
     span = minutes * MINUTE_US
     return overlap_cells(txns, "created_at", span).withColumn("_us", F.unix_micros("created_at")), span
 
 
 def _core(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_core")).drop("_core", "_slice", "_us")
+    return df.where(F.col("_core")).drop("_core", "_slice", "_us", "_at")
+
+
+def _running(keys: Sequence[str], upto: int):
+    """All rows of a slice up to `upto` microseconds after this one: a growing frame, so linear in the slice."""
+    return Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, upto)
+
+
+def _times(condition: Column) -> Column:
+    return F.count(F.when(condition, 1))
+
+
+def _with_look_back_count(sliced: DataFrame, keys: Sequence[str], span_us: int) -> DataFrame:
+    """`n_charges` in [t - span, t]: rows of the slice so far, and those of the slice before that are not yet out.
+
+    `_at` is when a row comes in or, for a row of the slice before, when it goes out.
+    """
+    timed = sliced.withColumn("_at", F.when(F.col("_core"), F.col("_us")).otherwise(F.col("_us") + span_us))
+    before = _times(~F.col("_core")).over(Window.partitionBy(*keys, "_slice"))
+    gone = _times(~F.col("_core")).over(_running(keys, -1))
+    return timed.withColumn("n_charges", _times(F.col("_core")).over(_running(keys, 0)) + before - gone)
+
+
+def _with_look_back_categories(timed: DataFrame, keys: Sequence[str], span_us: int) -> DataFrame:
+    """Distinct categories in [t - span, t].
+
+    In a slice a category is absent only between the end of its last row of the slice before and its first row of
+    this one, so two marks per category are enough, and none where the two overlap.
+    """
+    by_category = Window.partitionBy(*keys, "_slice", "category_name").orderBy("_core", "_us")
+    marked = timed.withColumns(
+        {
+            "_prev_core": F.lag("_core").over(by_category),
+            "_next_core": F.lead("_core").over(by_category),
+            "_prev_us": F.lag("_us").over(by_category),
+            "_next_us": F.lead("_us").over(by_category),
+        }
+    )
+    known = F.col("category_name").isNotNull()
+    last_before = known & ~F.col("_core") & F.coalesce("_next_core", F.lit(True))
+    leaves = last_before & F.coalesce(F.col("_next_us") > F.col("_us") + span_us, F.lit(True))
+    enters = (
+        known
+        & F.col("_core")
+        & ~F.coalesce("_prev_core", F.lit(False))
+        & F.coalesce(F.col("_us") > F.col("_prev_us") + span_us, F.lit(True))
+    )
+    return marked.withColumn(
+        "n_categories",
+        _times(last_before).over(Window.partitionBy(*keys, "_slice"))
+        + _times(enters).over(_running(keys, 0))
+        - _times(leaves).over(_running(keys, -1)),
+    ).drop("_prev_core", "_next_core", "_prev_us", "_next_us")
 
 
 def card_testing(txns: DataFrame, max_amount: float = 5.0, min_charges: int = 4, minutes: int = 60) -> DataFrame:
-    """Small charges that complete a run of `min_charges` in one category within `minutes`."""
-    sliced, span = _sliced(expenses(txns).where(F.col("amount") <= max_amount), minutes)
-    counted = sliced.withColumn("n_charges", F.count(F.lit(1)).over(_look_back(CATEGORY, span)))
+    """Small charges that complete a run of `min_charges` in one category within `minutes`.
+
+    A charge without a time completes no run.
+    """
+    timed = expenses(txns).where((F.col("amount") <= max_amount) & F.col("created_at").isNotNull())
+    sliced, span = _sliced(timed, minutes)
+    counted = _with_look_back_count(sliced, CATEGORY, span)
     return _core(counted).where(F.col("n_charges") >= min_charges)
 
 
 def velocity(txns: DataFrame, min_charges: int = 4, min_categories: int = 2, minutes: int = 60) -> DataFrame:
-    """Charges that complete a run of `min_charges` over several categories within `minutes`."""
-    sliced, span = _sliced(expenses(txns), minutes)
-    window = _look_back(["user_id"], span)
-    counted = sliced.withColumn("n_charges", F.count(F.lit(1)).over(window)).withColumn(
-        "n_categories", F.size(F.collect_set("category_name").over(window)).cast("bigint")
-    )
+    """Charges that complete a run of `min_charges` over several categories within `minutes`.
+
+    A charge without a time completes no run; a null category is none.
+    """
+    sliced, span = _sliced(expenses(txns).where(F.col("created_at").isNotNull()), minutes)
+    counted = _with_look_back_categories(_with_look_back_count(sliced, ["user_id"], span), ["user_id"], span)
     return _core(counted).where((F.col("n_charges") >= min_charges) & (F.col("n_categories") >= min_categories))
 
 
@@ -89,7 +141,7 @@ def silent_fraud(txns: DataFrame, lower: float = 1.8, upper: float = 3.0) -> Dat
     return merchant_novelty(txns, lower, upper)
 
 
-def geo_novelty(txns: DataFrame, watch_list: Sequence[str] = V.GEO_WATCH_LIST) -> DataFrame:
+def geo_novelty(txns: DataFrame, watch_list: Sequence[str]) -> DataFrame:
     """First charges of a user at a merchant of the watch list."""
     watched = expenses(txns).where(F.col("merchant").isin(list(watch_list)))
     return watched.join(first_charges(watched), "id", "left_semi")
@@ -251,9 +303,7 @@ def income_outlier(txns: DataFrame, threshold: float = 3000.0) -> DataFrame:
     return income.where(F.col("amount") >= threshold).join(first_charges(income), "id", "left_semi")
 
 
-def profile_contradiction(
-    txns: DataFrame, segments: DataFrame, merchants: Mapping[str, Sequence[str]] = V.CONTRADICTION_MERCHANTS
-) -> DataFrame:
+def profile_contradiction(txns: DataFrame, segments: DataFrame, merchants: Mapping[str, Sequence[str]]) -> DataFrame:
     """Charges at merchants listed against the user's segment (`segments`: user_id, segment)."""
     every = sorted({name for names in merchants.values() for name in names})
     candidates = expenses(txns).where(F.col("merchant").isin(every))  # cheap filter before the join

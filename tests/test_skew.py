@@ -1,8 +1,12 @@
 """Salted joins and cell-wise windows against the plain way, on data where one key holds most rows."""
 
+import random
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from coinweir.operators import detectors as D
 from coinweir.plans import skew
 
 
@@ -73,3 +77,39 @@ def test_top_n_limits_before_the_shuffle(spark):
 
     rows = skewed(spark).select("id", F.col("key").alias("user_id"), F.col("ts").alias("created_at"))
     assert "WindowGroupLimit" in top_n_per_user(rows, 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def _charges(spark, rows):
+    at = F.timestamp_micros((F.col("minute") * 60_000_000).cast("bigint"))
+    frame = spark.createDataFrame(rows, "id long, user_id string, category_name string, minute double")
+    return frame.select("id", "user_id", "category_name", F.lit("expense").alias("transaction_type"), F.lit(1.0).alias("amount"), at.alias("created_at"))
+
+
+def test_look_backs_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice(["x", "y", "z", None]), float(rng.choice([rng.randrange(300), rng.randrange(9) * 60]))) for i in range(300)]
+    rows += [(900, "a", "x", None)]
+    charges = _charges(spark, rows)
+    got = {r.id: (r.n_charges, r.n_categories) for r in D.velocity(charges, 1, 0).collect()}
+    small = {r.id: r.n_charges for r in D.card_testing(charges, min_charges=1).collect()}
+    for i, user, category, minute in rows[:-1]:
+        seen = [r for r in rows[:-1] if r[1] == user and minute - 60 <= r[3] <= minute]
+        assert got[i] == (len(seen), len({r[2] for r in seen} - {None}))
+        assert small[i] == sum(r[2] == category for r in seen)
+    assert len(got) == len(small) == 300  # the charge without a time is in neither
+
+
+def test_look_backs_are_linear_in_a_hot_hour(spark):
+    ids = spark.range(40_000)
+    hot = ids.select(
+        "id",
+        F.lit("a").alias("user_id"),
+        F.concat(F.lit("c"), F.col("id") % 7).alias("category_name"),
+        F.lit("expense").alias("transaction_type"),
+        F.lit(1.0).alias("amount"),
+        F.timestamp_micros(F.col("id") * 80_000).alias("created_at"),
+    )
+    took = time.monotonic()
+    last = D.velocity(hot).agg(F.max("n_charges").alias("n"), F.max("n_categories").alias("c")).first()
+    assert (last.n, last.c) == (40_000, 7)
+    assert time.monotonic() - took < 30  # a frame rescanned for every row takes minutes
