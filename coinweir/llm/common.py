@@ -30,6 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def may_be_among_first(key: Column, rows: int, of: Column, share: int = 4) -> Column:
+    """Whether a key is in the part of all hashes that holds about `share` x `rows` of `of` rows.
+
+    A ranking for a sample of `rows` then needs these alone, and no task ranks a whole group.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
+    return place * of <= share * rows
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import in_batches, text_bytes, written
+from coinweir.llm.common import in_batches, may_be_among_first, text_bytes, written
 
 SAMPLE_ROWS = 1_500  # labelled rows of each language that the model is fitted on
 MAX_LANGUAGES = 400  # the most frequent ones
@@ -102,7 +102,8 @@ def fit(
     common = kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     chosen = (
         kept.select("doc_id", "lang")
-        .join(F.broadcast(common.select("lang")), "lang")  # MAX_LANGUAGES rows at most
+        .join(F.broadcast(common), "lang")  # MAX_LANGUAGES rows at most
+        .where(may_be_among_first(F.col("doc_id"), rows, F.col("count")))
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
         .where(F.col("place") <= rows)
     )

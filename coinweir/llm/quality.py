@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import in_batches, text_bytes
+from coinweir.llm.common import in_batches, may_be_among_first, text_bytes
 
 SAMPLE_ROWS = 2_000  # labelled rows of each label that are used
 SAMPLE_BYTES = 6_000  # of each of them in a dictionary: a document gives no more than its share
@@ -101,7 +101,9 @@ def fit(
         .where("label = other")  # an id marked both ways says nothing
     )
     share = {r["label"]: float(r["count"]) for r in marked.groupBy("label").count().collect()}  # two rows
-    chosen = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "label", "place")
+    size = F.coalesce(*[F.when(F.col("label") == label, n) for label, n in share.items()], F.lit(0.0))
+    likely = marked.where(may_be_among_first(F.col("doc_id"), rows, size))
+    chosen = likely.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "label", "place")
     found = (
         docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # 2 x rows at most
