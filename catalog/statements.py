@@ -278,6 +278,18 @@ enter(
         CASE WHEN t.n > 0 THEN t.n WHEN s.statement_id % 3 = 2 THEN CAST(0 AS BIGINT) ELSE coalesce(x.n, CAST(0 AS BIGINT)) END AS n_transactions
       FROM (SELECT DISTINCT statement_id FROM named) s LEFT JOIN from_table t USING (statement_id) LEFT JOIN from_text x USING (statement_id) LEFT JOIN text_kinds k USING (statement_id)""",
 )
+# The transactions themselves; signs are compared by finalize_statement and normalize_sign.
+enter(
+    "parse_statements",
+    lambda s, d: P.parse_statements(*_mixed_input(s, d), REF_YEAR)[0].select(
+        "statement_id", "transaction_date", F.lower("description").alias("key"), F.abs("amount").alias("size")
+    ),
+    f"""WITH {TYPED}, {FINAL}, from_table AS (SELECT DISTINCT statement_id, parsed AS transaction_date, lower(name) AS key, amount FROM named
+        WHERE statement_id % 3 = 0 AND statement_id % 4 < 3 AND parsed IS NOT NULL)
+      SELECT statement_id, transaction_date, key, abs(amount) AS size FROM from_table
+      UNION ALL SELECT statement_id, transaction_date, key, abs(amount) FROM final
+      WHERE statement_id % 3 <> 2 AND statement_id NOT IN (SELECT statement_id FROM from_table)""",
+)
 enter(
     "line_diagnostics",
     lambda s, d: P.line_diagnostics(plain_lines(s, d), 5).select("statement_id", "line_no", F.size("amounts").alias("n_amounts"), "is_summary", "would_parse"),

@@ -44,11 +44,13 @@ def search_transactions(txns: DataFrame, query: str = "", kind: str = "All") ->
     return txns.where(wanted)
 
 
-def flagged_transactions(txns: DataFrame) -> DataFrame:
+def _flagged(txns: DataFrame) -> DataFrame:
     status = F.col("anomaly_status")
-    return txns.where(F.col("is_anomaly") & ((status == "confirmed_anomaly") | status.isNull())).orderBy(
-        "user_id", *newest_first()
-    )
+    return txns.where(F.col("is_anomaly") & ((status == "confirmed_anomaly") | status.isNull()))
+
+
+def flagged_transactions(txns: DataFrame) -> DataFrame:
+    return _flagged(txns).orderBy("user_id", *newest_first())
 
 
 def severity(score: str | Column) -> Column:
@@ -88,12 +90,12 @@ def insight_ids(flagged: DataFrame) -> DataFrame:
 
 
 def insights(txns: DataFrame) -> DataFrame:
-    return insight_ids(flagged_transactions(txns)).select(F.col("insight_id").alias("id"), *_insight_columns())
+    return insight_ids(_flagged(txns)).select(F.col("insight_id").alias("id"), *_insight_columns())
 
 
 def insight_summary(txns: DataFrame) -> DataFrame:
     return (
-        flagged_transactions(txns)
+        _flagged(txns)
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("total_insights"))
         .select(

@@ -8,15 +8,17 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coinweir.functions import fixed_values as V
 from coinweir.operators import anomaly as A
 from coinweir.operators.reports import binary_metrics
-from coinweir.plans.skew import running_index, sorted_index
+from coinweir.plans.skew import sorted_index
 from coinweir.session import cut_lineage
 
+CELL_BITS = (51, 39)  # 4,096 cells of all hashes, then 4,096 of the one at the cut
+
 FEATURES = [*V.NUMERIC_FEATURES, *[f"{name}_enc" for name in V.CATEGORICAL_FEATURES]]
 
 
@@ -67,19 +69,31 @@ def standard_scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> D
 def stratified_split(df: DataFrame, label: str, row_id: str, test_share: float = 0.2, seed: int = V.SEED) -> DataFrame:
     """Adds `in_test`: exactly round(share x n) rows of every class, drawn by a seeded hash of the row id.
 
-    A class may hold nearly all rows, so the draw is by hash slice: whole slices below the cut, and an exact
-    count inside the one slice the cut falls into.
+    All that is sought is the last hash of each class that is still in. Counts of hash cells lead to the cell that
+    holds it, twice over, and only the rows of that cell are ranked; the rows themselves are never shuffled. `df` is
+    read four times. Rows without a label are left out.
     """
-    slices = 4096
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(row_id), F.lit(seed))).withColumn(
-        "_slice", F.pmod(F.shiftright("_hash", 20), F.lit(slices))
-    )
-    ranked = running_index(hashed, [label], F.col("_slice"), [F.asc("_hash"), F.asc(row_id)], "_rank")
-    sizes = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_share).cast("bigint").alias("_cut"))
-    # One row per class: broadcast whatever the scale.
-    return ranked.join(F.broadcast(sizes), label).withColumn("in_test", F.col("_rank") <= F.col("_cut")).drop(
-        "_hash", "_slice", "_rank", "_cut"
+    labelled = df.where(F.col(label).isNotNull()).withColumn(
+        "_hash", F.shiftrightunsigned(F.xxhash64(F.col(row_id), F.lit(seed)), 1)
     )
+    sizes = labelled.groupBy(label).agg(F.round(F.count(F.lit(1)) * test_share).cast("bigint").alias("_left"))
+    place = labelled.select(label, row_id, "_hash").join(F.broadcast(sizes), label)  # one row per class
+    for bits in CELL_BITS:
+        cells = place.groupBy(label, "_left", F.shiftright("_hash", bits).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+        below = F.sum("_n").over(Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+        cut = (
+            cells.withColumn("_below", F.coalesce(below, F.lit(0)))
+            .where((F.col("_below") < F.col("_left")) & (F.col("_left") <= F.col("_below") + F.col("_n")))
+            .select(label, "_cell", (F.col("_left") - F.col("_below")).alias("_left"))
+        )
+        inside = place.drop("_left").withColumn("_cell", F.shiftright("_hash", bits))
+        place = inside.join(F.broadcast(cut), [label, "_cell"]).drop("_cell")  # one row per class
+    position = F.struct(F.col("_hash"), F.col(row_id).alias("_id"))
+    in_order = Window.partitionBy(label).orderBy("_hash", row_id)
+    last = place.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") == F.col("_left"))
+    last = cut_lineage(last.select(label, position.alias("_last")))
+    drawn = labelled.join(F.broadcast(last), label, "left")  # one row per class
+    return drawn.withColumn("in_test", F.coalesce(position <= F.col("_last"), F.lit(False))).drop("_hash", "_last")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -153,13 +167,29 @@ class TrainedModel:
     test: DataFrame
     version: str = "spark_forest_v1"
 
+    def save(self, folder: str) -> None:
+        """Write dictionaries, scaling, forest and test rows under `folder`, which must be new."""
+        for name, dictionary in self.preprocessor.dictionaries.items():
+            dictionary.write.parquet(f"{folder}/dictionary_{name}")
+        self.preprocessor.stats.write.parquet(f"{folder}/scaling")
+        self.test.write.parquet(f"{folder}/test")
+        self.forest.write().save(f"{folder}/forest")
+
     def scorer(self, threshold: float = V.SCORING_THRESHOLD) -> Callable[[DataFrame, DataFrame], DataFrame]:
         return lambda batch, history: score_batch(batch, history, self, threshold)
 
 
+def load_model(spark: SparkSession, folder: str) -> TrainedModel:
+    """The model that `TrainedModel.save` wrote under `folder`."""
+    dictionaries = {name: spark.read.parquet(f"{folder}/dictionary_{name}") for name in V.CATEGORICAL_FEATURES}
+    preprocessor = Preprocessor(dictionaries, spark.read.parquet(f"{folder}/scaling"))
+    forest = RandomForestClassificationModel.load(f"{folder}/forest")
+    return TrainedModel(preprocessor, forest, spark.read.parquet(f"{folder}/test"))
+
+
 def train(features: DataFrame, label: str = "is_anomaly", row_id: str = "transaction_id") -> TrainedModel:
-    """Split, fit on the training part only, train. The split rows are written once and read by every step."""
-    split = cut_lineage(stratified_split(features, label, row_id))
+    """Split, fit on the training part only, train. The features are written once and read by every step."""
+    split = stratified_split(cut_lineage(features), label, row_id)
     train_rows, test_rows = split.where(~F.col("in_test")), split.where(F.col("in_test"))
     preprocessor = fit_preprocessor(train_rows, row_id)
     weighted = balanced_weights(preprocessor.transform(train_rows, row_id), label)
@@ -174,7 +204,8 @@ def evaluate_model(model: TrainedModel, threshold: float = V.EVALUATION_THRESHOL
 def score_batch(batch: DataFrame, history: DataFrame, model: TrainedModel, threshold: float = V.SCORING_THRESHOLD) -> DataFrame:
     """Safeguards first; only rows they leave open get features and reach the forest."""
     result = ["transaction_id", "user_id", "is_anomaly", "anomaly_status", "confidence", "reason", "model_version"]
-    guarded = cut_lineage(A.anomaly_safeguards(batch, history))  # read by both branches
+    # The history ends here: what is written and read by both branches holds the features instead.
+    guarded = cut_lineage(A.features_against_history(A.anomaly_safeguards(batch, history)).drop("history"))
     settled = guarded.where(F.col("anomaly_status").isNotNull()).select(
         "transaction_id",
         "user_id",
@@ -184,7 +215,7 @@ def score_batch(batch: DataFrame, history: DataFrame, model: TrainedModel, thres
         F.lit(None).cast("string").alias("reason"),
         F.lit(None).cast("string").alias("model_version"),
     )
-    open_rows = A.features_against_history(guarded.where(F.col("anomaly_status").isNull())).drop("history")
+    open_rows = guarded.where(F.col("anomaly_status").isNull())
     # The scaled columns replace the features, so the sentence is written before scaling.
     told = open_rows.withColumn("_sentence", A.anomaly_reason())
     scored = predict(model.forest, model.preprocessor.transform(told), threshold).withColumn(

@@ -6,6 +6,7 @@ from catalog import ml as CM
 from catalog import tables as T
 from coinweir.functions import fixed_values as V
 from coinweir.plans import ml as M
+from coinweir.session import fresh_path
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,6 +52,20 @@ def test_forest_learns(spark, model):
     assert len(importance) == 13 and abs(sum(r.importance for r in importance) - 1) < 1e-6
 
 
+def test_a_saved_model_scores_the_same(spark, model):
+    folder = fresh_path(spark, "saved")
+    model.save(folder)
+    rows = lambda m: {r.transaction_id: r.anomaly_probability for r in M.predict(m.forest, m.test, 0.5).collect()}
+    assert rows(M.load_model(spark, folder)) == rows(model)
+
+
+def test_split_of_small_classes_and_null_labels(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 1), *((i, 2) for i in range(10, 20)), (99, None)], "id long, y int")
+    got = {r.y: (r.n, r.t) for r in M.stratified_split(rows, "y", "id").groupBy("y").agg(F.count("*").alias("n"), F.count_if("in_test").alias("t")).collect()}
+    assert got == {0: (2, 0), 1: (1, 0), 2: (10, 2)}
+    assert M.stratified_split(rows.limit(0), "y", "id").count() == 0
+
+
 def test_scores(spark, model):
     batch, history = CA.split(T.txn_events(spark, FOLDER))
     rows = M.score_batch(batch, history, model).collect()
