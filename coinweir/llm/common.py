@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import filterfalse
 
 import numpy as np
@@ -23,6 +26,7 @@ CHUNK = re.compile(
     f" ?[{_LETTERS}]+(?=[ ,.!?;:])|[{SPACE}]*(?:[{_LETTERS}]+(?=[,.!?;:])|[^{SPACE}]+)|[{SPACE}]+"
 )
 BATCH_ROWS = 1_000  # rows handed to a step at once
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FILTER_BITS = 24  # a bit map has 2**24 bits, 2 MB, however many keys are put in
 
 
@@ -39,10 +43,23 @@ def may_be_among_first(key: Column, rows: int, of: Column, share: int = 4) -> Co
     return place * of <= share * rows
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand BATCH_ROWS rows at a time to Python: whole texts in larger batches take much memory
+    outside the heap. The session's own setting is put back."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,10 +76,20 @@ def in_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]],
         for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             for made in step(batch):
                 yield pa.RecordBatch.from_arrays([_as(made[f.name], f.type) for f in fields], schema=fields)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays for later tasks, beside its executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim is not None:
+            trim(0)
+
+
 def _as(values, kind):
     return values.cast(kind) if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values, kind)
 
@@ -120,7 +147,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for the common ones (a bounded number)."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self):
         self.known: dict[bytes, int] = {}

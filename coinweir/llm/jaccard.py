@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import WORD_HASHES, bit_map, bit_test, cell, groups, in_batches, mix, shingle_hashes, text_bytes, written
+from coinweir.llm.common import WORD_HASHES, bit_map, bit_test, cell, groups, in_batches, mix, shingle_hashes, small_batches, text_bytes, written
 from coinweir.llm.components import components
 
 WORDS = 5
@@ -81,7 +81,8 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
 
     sent = in_batches(docs, send, "range int, owner int, cells binary")
     added = sent.groupBy("range", "owner").applyInArrow(add, "range int, sums binary")
-    found = added.groupBy("range").applyInArrow(finish, "range int, steps binary").toArrow()
+    with small_batches(docs.sparkSession):
+        found = added.groupBy("range").applyInArrow(finish, "range int, steps binary").toArrow()
     table = np.zeros(1 << COUNT_BITS, np.uint8)
     for key, steps in zip(found.column("range").to_pylist(), found.column("steps"), strict=True):
         table[key << _RANGE_BITS : (key + 1) << _RANGE_BITS] = np.frombuffer(steps.as_buffer(), np.uint8)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import in_batches, may_be_among_first, text_bytes, written
+from coinweir.llm.common import in_batches, may_be_among_first, release, text_bytes, written
 
 SAMPLE_ROWS = 1_500  # labelled rows of each language that the model is fitted on
 MAX_LANGUAGES = 400  # the most frequent ones
@@ -23,6 +23,7 @@ DIMENSIONS = 1 << 12
 ROUNDS = 12
 REJECT_QUANTILE = 0.001  # share of the sample further from its centroid than the limit
 REJECT_MARGIN = 0.6  # ... which is then lowered by this factor
+SCORED = 64  # texts whose vectors a task holds at once
 SHORT_BYTES = 200  # shorter texts have a limit lower in proportion
 UNDETERMINED = "und"
 _NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -58,7 +59,7 @@ class CentroidModel:
     limits: np.ndarray  # least cosine of a text that belongs to the centroid's language
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
+        return _vectors(counts, self.idf)
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cosines = self.vectors(counts) @ self.centroids.T
@@ -70,6 +71,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF vectors of length 1, made in the place of `counts`."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None], 1e-12)
+    return counts
+
+
 def _clusters(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Centroids of spherical k-means; the first ones are spread out."""
     rng = np.random.default_rng(seed)
@@ -121,11 +130,11 @@ def fit(
     sample = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     sample = written(in_batches(sample, step, "lang string, counts binary"), "sample")
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        return np.array([np.frombuffer(c, "<u2") for c in sorted(table.column("counts").to_pylist())], np.float32)
-
     def presence(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"n": [table.num_rows], "present": [(matrix(table) > 0).sum(axis=0).astype("<i8").tobytes()]})
+        found = np.zeros(DIMENSIONS, "<i8")
+        for counts in table.column("counts"):
+            found += np.frombuffer(counts.as_buffer(), "<u2") > 0
+        return pa.table({"n": [table.num_rows], "present": [found.tobytes()]})
 
     # one row for each language, of which there are MAX_LANGUAGES at most
     found = sample.groupBy("lang").applyInArrow(presence, "n bigint, present binary").toArrow().to_pylist()
@@ -135,11 +144,16 @@ def fit(
     idf = np.log((1 + total) / (1 + sum(np.frombuffer(r["present"], "<i8") for r in found))) + 1
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = _unit(np.log1p(matrix(table)) * idf.astype(np.float32))
+        x = np.empty((table.num_rows, DIMENSIONS), np.float32)
+        for row, counts in zip(x, sorted(table.column("counts").to_pylist()), strict=True):
+            row[:] = np.frombuffer(counts, "<u2")
+        x = _vectors(x, idf.astype(np.float32))
         c = _clusters(x, centroids, 0)
         cosine = x @ c.T
         own = cosine.argmax(axis=1)
         limits = [REJECT_MARGIN * float(np.quantile(cosine[own == j, j], REJECT_QUANTILE)) if (own == j).any() else 0.0 for j in range(len(c))]
+        del x, cosine
+        release()
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": [r.astype("<f4").tobytes() for r in c], "least": limits})
 
     found = sample.groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least double").toArrow().to_pylist()
@@ -167,8 +181,8 @@ def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc
         raw, m = text_bytes(batch), shared.value
         langs, scores, refused = [UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw)
         rows = [i for i, t in enumerate(raw) if m is not None and t and has_letter(t)]
-        for k in range(0, len(rows), 256):
-            part = rows[k : k + 256]
+        for k in range(0, len(rows), SCORED):
+            part = rows[k : k + SCORED]
             best, cosine = m.nearest(np.array([counts_of(raw[i]) for i in part]))
             for i, j, c in zip(part, best, np.clip(cosine, 0, 1), strict=True):
                 langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < m.limits[j] * min(1.0, len(raw[i]) / SHORT_BYTES))
