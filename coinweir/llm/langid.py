@@ -1,4 +1,4 @@
-"""Language identification (7): nearest of several centroids per language by cosine, with a distance limit.
+"""Language identification (7): nearest of several centroids per language by cosine, with a limit for each length.
 
 Texts become TF-IDF vectors of hashed byte n-grams (letters only, lower case). The model is fitted on a bounded
 sample of labelled rows, each language in a task of its own; every text is then scored as a whole in the tasks that
@@ -21,12 +21,14 @@ MAX_LANGUAGES = 400  # the most frequent ones
 CENTROIDS = 3
 DIMENSIONS = 1 << 12
 ROUNDS = 12
-REJECT_QUANTILE = 0.001  # share of the sample further from its centroid than the limit
-REJECT_MARGIN = 0.6  # ... which is then lowered by this factor
+BANDS = tuple(range(2, 17))  # limits are set for texts of 2**band bytes
+REJECT_SHARE = 0.75  # a limit is this part of the median cosine of the language's windows of that size
+REJECT_LOW = 0.1  # ... or as far again below this quantile of them as twice its distance from the median, if lower
+CLUSTER_SHARE = 0.1  # a cluster of fewer of its language's rows is no centroid
 SCORED = 64  # texts whose vectors a task holds at once
-SHORT_BYTES = 200  # shorter texts have a limit lower in proportion
 UNDETERMINED = "und"
 _NOT_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_JOINED = pa.struct([("band", pa.list_(pa.int32())), ("cosine", pa.list_(pa.float64()))])
 _PRIMES = np.array([2654435761, 2246822519, 3266489917], np.uint64)
 
 
@@ -56,7 +58,7 @@ class CentroidModel:
     languages: list[str]  # language of each centroid
     idf: np.ndarray
     centroids: np.ndarray  # rows of length 1
-    limits: np.ndarray  # least cosine of a text that belongs to the centroid's language
+    limits: np.ndarray  # for each of BANDS, the least cosine of a text that belongs to the centroid's language
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _vectors(counts, self.idf)
@@ -66,6 +68,12 @@ class CentroidModel:
         best = cosines.argmax(axis=1)
         return best, cosines[np.arange(len(best)), best]
 
+    def least(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Limits of texts of these bytes at their centroids, between two bands in proportion to the logarithm."""
+        at = np.clip(np.log2(sizes) - BANDS[0], 0, len(BANDS) - 1)
+        low = np.minimum(at.astype(int), len(BANDS) - 2)
+        return self.limits[best, low] * (low + 1 - at) + self.limits[best, low + 1] * (at - low)
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
@@ -79,18 +87,85 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _clusters(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Centroids of spherical k-means; the first ones are spread out."""
+def _clusters(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of each cluster by spherical k-means, and the cluster of each row, -1 for none.
+
+    The first centroids are drawn, far rows more often. The largest cluster and those of CLUSTER_SHARE of the rows
+    stay: a few odd rows are no centre of a language.
+    """
     rng = np.random.default_rng(seed)
     chosen = [x[rng.integers(len(x))]]
     while len(chosen) < min(k, len(x)):
-        far = 1 - np.max(x @ np.array(chosen).T, axis=1)
-        chosen.append(x[int(far.argmax())])
+        far = np.maximum(1 - np.max(x @ np.array(chosen).T, axis=1), 0).astype(np.float64)
+        if far.sum() < 1e-6:
+            break
+        chosen.append(x[rng.choice(len(x), p=far / far.sum())])
     c = np.array(chosen)
     for _ in range(ROUNDS):
         near = (x @ c.T).argmax(axis=1)
         c = _unit(np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
-    return c
+    near = (x @ c.T).argmax(axis=1)
+    rows = np.bincount(near, minlength=len(c))
+    kept = np.flatnonzero((rows >= CLUSTER_SHARE * len(x)) | (rows == rows.max()))
+    place = np.full(len(c), -1)
+    place[kept] = np.arange(len(kept))
+    return np.array([x[near == j].sum(axis=0) for j in kept]), place[near]
+
+
+def _held_out(vectors: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Cosines to the nearest centroid of `sums`, from which the vectors' own rows were taken; none if nothing is left."""
+    left = sums[np.linalg.norm(sums, axis=1) > 1e-3]
+    return (vectors @ _unit(left).T).max(axis=1) if len(left) else np.zeros(0)
+
+
+def _windows(text: bytes) -> dict[int, bytes]:
+    """For each band that the text is long enough for, a piece of that size at a place chosen by a hash."""
+    from xxhash import xxh3_64_intdigest
+
+    made = {}
+    for band in BANDS:
+        if len(text) >= 1 << band:
+            start = xxh3_64_intdigest(text, band) % (len(text) - (1 << band) + 1)
+            made[band] = text[start : start + (1 << band)]
+    return {k: w for k, w in made.items() if has_letter(w)}
+
+
+def _joined(x: np.ndarray, counts: list[bytes], sizes: np.ndarray, sums: np.ndarray, own: np.ndarray, idf: np.ndarray) -> dict[str, list]:
+    """Cosines of texts shorter than a band, joined up to its size: long texts of a language that has few of them."""
+    made = {"band": [], "cosine": []}
+    for band in BANDS:
+        total, size, held = np.zeros((1, DIMENSIONS), np.float32), 0, sums.copy()
+        for row in np.flatnonzero(sizes < 1 << band):
+            total[0] += np.frombuffer(counts[row], "<u2")
+            size += sizes[row]
+            if own[row] >= 0:
+                held[own[row]] -= x[row]
+            if size >= 1 << band:
+                found = _held_out(_vectors(total, idf), held)
+                made["band"].extend([band] * len(found))
+                made["cosine"].extend(found.tolist())
+                total, size, held = np.zeros((1, DIMENSIONS), np.float32), 0, sums.copy()
+    return made
+
+
+def _limits(languages: list[str], found: dict[tuple[str, int], tuple[float, float]]) -> np.ndarray:
+    """Limits of each language at each band from (median, low quantile).
+
+    A band without cosines takes the next shorter one's limit, else the next longer one's; a language without any
+    takes the mean of the others.
+    """
+    out = np.full((len(languages), len(BANDS)), np.nan)
+    for i, lang in enumerate(languages):
+        for k, band in enumerate(BANDS):
+            if (lang, band) in found:
+                middle, low = found[lang, band]
+                out[i, k] = max(0.0, min(REJECT_SHARE * middle, low - 2 * (middle - low)))
+        known = np.flatnonzero(~np.isnan(out[i]))
+        if len(known):
+            out[i] = out[i, known[np.maximum(np.searchsorted(known, np.arange(len(BANDS)), "right") - 1, 0)]]
+    lost = np.isnan(out).all(axis=1)
+    out[lost] = 0.0 if lost.all() else out[~lost].mean(axis=0)
+    return out
 
 
 def fit(
@@ -118,17 +193,18 @@ def fit(
     )
 
     def step(batch):
-        made = {"lang": [], "counts": []}
+        made = {"lang": [], "size": [], "counts": []}
         for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
             if has_letter(text):
                 made["lang"].append(lang)
+                made["size"].append(len(text))
                 made["counts"].append(np.minimum(counts_of(text), 65535).astype("<u2").tobytes())
         if made["lang"]:
             yield made
 
-    ids = chosen.select("doc_id", "lang").distinct()  # rows x languages at most
-    sample = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
-    sample = written(in_batches(sample, step, "lang string, counts binary"), "sample")
+    ids = written(chosen.select("doc_id", "lang").distinct(), "ids")  # rows x languages at most
+    texts = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    sample = written(in_batches(texts, step, "lang string, size bigint, counts binary"), "sample")
 
     def presence(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found = np.zeros(DIMENSIONS, "<i8")
@@ -144,31 +220,65 @@ def fit(
     idf = np.log((1 + total) / (1 + sum(np.frombuffer(r["present"], "<i8") for r in found))) + 1
 
     def cluster(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x = np.empty((table.num_rows, DIMENSIONS), np.float32)
-        for row, counts in zip(x, sorted(table.column("counts").to_pylist()), strict=True):
-            row[:] = np.frombuffer(counts, "<u2")
-        x = _vectors(x, idf.astype(np.float32))
-        c = _clusters(x, centroids, 0)
-        cosine = x @ c.T
-        own = cosine.argmax(axis=1)
-        limits = [REJECT_MARGIN * float(np.quantile(cosine[own == j, j], REJECT_QUANTILE)) if (own == j).any() else 0.0 for j in range(len(c))]
-        del x, cosine
+        rows = sorted(zip(table.column("counts").to_pylist(), table.column("size").to_pylist(), strict=True))
+        counts, sizes = [r[0] for r in rows], np.array([r[1] for r in rows])
+        x = np.empty((len(rows), DIMENSIONS), np.float32)
+        for row, raw in zip(x, counts, strict=True):
+            row[:] = np.frombuffer(raw, "<u2")
+        weights = idf.astype(np.float32)
+        x = _vectors(x, weights)
+        sums, own = _clusters(x, centroids, 0)
+        made = _joined(x, counts, sizes, sums, own, weights)
+        del x
         release()
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": [r.astype("<f4").tobytes() for r in c], "least": limits})
-
-    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least double").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["lang"], r["centroid"]))
-    return CentroidModel(
-        [r["lang"] for r in found],
-        idf,
-        np.array([np.frombuffer(r["centroid"], "<f4") for r in found], np.float64),
-        np.array([r["least"] for r in found]),
-    )
+        return pa.table(
+            {
+                "lang": pa.array([key[0].as_py()] * len(sums), pa.string()),
+                "sums": [r.astype("<f4").tobytes() for r in sums],
+                "joined": pa.array([made if j == 0 else {"band": [], "cosine": []} for j in range(len(sums))], _JOINED),
+            }
+        )
+
+    schema = "lang string, sums binary, joined struct<band:array<int>,cosine:array<double>>"
+    fitted = written(sample.groupBy("lang").applyInArrow(cluster, schema), "centroids")
+    found = fitted.select("lang", "sums").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["lang"], r["sums"]))
+    languages = [r["lang"] for r in found]
+    sums = np.array([np.frombuffer(r["sums"], "<f4") for r in found], np.float64)
+    places: dict[str, list[int]] = {}
+    for i, lang in enumerate(languages):
+        places.setdefault(lang, []).append(i)
+    shared = labelled.sparkSession.sparkContext.broadcast((sums, places, idf))
+
+    def window(batch):
+        sums, places, idf = shared.value
+        made = {"lang": [], "band": [], "cosine": []}
+        for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+            pieces = _windows(text)
+            if not pieces:
+                continue
+            whole = _vectors(counts_of(text)[None], idf)[0]
+            held = sums[places[lang]]
+            held[(_unit(held) @ whole).argmax()] -= whole
+            cosines = _held_out(_vectors(np.array([counts_of(w) for w in pieces.values()]), idf), held)
+            if len(cosines):
+                made["lang"].extend([lang] * len(pieces))
+                made["band"].extend(pieces)
+                made["cosine"].extend(cosines.tolist())
+        if made["lang"]:
+            yield made
+
+    joined = fitted.select("lang", F.explode(F.arrays_zip("joined.band", "joined.cosine")).alias("j")).select("lang", "j.band", "j.cosine")
+    cosines = in_batches(texts, window, "lang string, band int, cosine double").unionByName(joined)
+    quantiles = cosines.groupBy("lang", "band").agg(F.percentile("cosine", F.lit(0.5)).alias("middle"), F.percentile("cosine", F.lit(REJECT_LOW)).alias("low"))
+    # one row for each language and band
+    limits = _limits(languages, {(r["lang"], r["band"]): (r["middle"], r["low"]) for r in quantiles.toArrow().to_pylist()})
+    return CentroidModel(languages, idf, _unit(sums), limits)
 
 
 def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected (closer to no language than
-    its distance limit) of every row.
+    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected (the cosine is under
+    the limit of the language for a text of its bytes) of every row.
 
     A null text, a text without a letter, and any text without a model is `und` with score 0 and is rejected.
     Ties go to the language that sorts first; repeated rows are scored one by one; a null id stays null; other
@@ -184,8 +294,9 @@ def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc
         for k in range(0, len(rows), SCORED):
             part = rows[k : k + SCORED]
             best, cosine = m.nearest(np.array([counts_of(raw[i]) for i in part]))
-            for i, j, c in zip(part, best, np.clip(cosine, 0, 1), strict=True):
-                langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < m.limits[j] * min(1.0, len(raw[i]) / SHORT_BYTES))
+            least = m.least(best, np.array([len(raw[i]) for i in part]))
+            for i, j, c, limit in zip(part, best, np.clip(cosine, 0, 1), least, strict=True):
+                langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < limit)
         yield {"doc_id": batch.column(0), "lang_pred": langs, "score": scores, "rejected": refused}
 
     return in_batches(

@@ -229,6 +229,36 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty.withColumn("lang", F.lit("aa")))).collect()} == {"und"}
 
 
+def test_language_limits(spark):
+    """Gibberish, one word over and over and a language never learned are rejected at any length, clean texts stay."""
+    rng = random.Random(4)
+    raw = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    model = langid.fit(raw.where("lang <> 'de'"))
+    gibberish = []
+    for size in (100, 300, 1000, 4000, 16000):
+        for _ in range(20):
+            text = ""
+            while len(text) < size:
+                text += "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 11))) + " "
+            gibberish.append(text)
+        gibberish.append("Oure " * (size // 5))
+    odd = spark.createDataFrame(list(enumerate(gibberish)), "doc_id long, text string")
+    assert [r.doc_id for r in langid.identify(odd, model).where("NOT rejected").collect()] == []
+    found = langid.identify(raw, model).join(raw.select("doc_id", "lang", "text"), "doc_id").collect()
+    unknown = [r for r in found if r.lang == "de" and len(r.text) >= 100]
+    assert len(unknown) > 100
+    assert all(r.rejected for r in unknown)
+
+    def clean(text):  # prose: most letters small, words neither repeated all over nor few
+        words = text.split()
+        small = sum(map(str.islower, text))
+        return len(words) >= 20 and len(set(words)) >= 0.2 * len(words) and small >= 0.7 * len(text)
+
+    known = [r for r in found if r.lang != "de" and clean(r.text)]
+    assert len(known) > 500
+    assert [r.doc_id for r in known if r.rejected] == []
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(1)
     good = [f"{w} of the " for w in BASE]
