@@ -13,10 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import in_batches, may_be_among_first, text_bytes
+from coinweir.llm.common import in_batches, may_be_among_first, text_bytes, written
 
 SAMPLE_ROWS = 2_000  # labelled rows of each label that are used
-SAMPLE_BYTES = 6_000  # of each of them in a dictionary: a document gives no more than its share
+SAMPLE_BYTES = 6_000  # of each of them in a dictionary, from places all over it: a document gives no more than its share
+CUT_BYTES = 256  # a dictionary is filled with cuts of this size
 DICTIONARY_BYTES = 512 << 10
 PIECE_BYTES = 1_024
 PRIOR_BYTES = 128
@@ -46,17 +47,34 @@ def difference(text: bytes, good, bad, middle: float = 0.0) -> float:
 
     A few bytes say little, so every text gets PRIOR_BYTES of middling text for free; an empty one has just those.
     """
-    total = PRIOR_BYTES * middle
-    for k in range(0, len(text), PIECE_BYTES):
-        piece = text[k : k + PIECE_BYTES]
-        total += len(bad.compress(piece)) - len(good.compress(piece))
-    return total / (len(text) + PRIOR_BYTES)
+    return (PRIOR_BYTES * middle + saved(text, good, bad)) / (len(text) + PRIOR_BYTES)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Texts one behind the other, their shares cut so that all of them fit."""
-    share = min(SAMPLE_BYTES, max(256, DICTIONARY_BYTES // max(1, len(texts))))
-    return b"\n".join(t[:share] for t in texts)[:DICTIONARY_BYTES].ljust(8, b"\n")
+def saved(text: bytes, good, bad) -> int:
+    """Size with the bad dictionary - size with the good one, of the whole text in pieces."""
+    pieces = (text[k : k + PIECE_BYTES] for k in range(0, len(text), PIECE_BYTES))
+    return sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces)
+
+
+def cuts(text: bytes) -> list[tuple[int, bytes]]:
+    """Place and bytes of cuts of a text, all of them or SAMPLE_BYTES, in an order drawn by a hash of the text."""
+    from xxhash import xxh3_64_intdigest
+
+    rng = np.random.default_rng(xxh3_64_intdigest(text))
+    places = rng.permutation(-(-len(text) // CUT_BYTES))[: -(-SAMPLE_BYTES // CUT_BYTES)] * CUT_BYTES
+    return [(int(k), text[k : k + CUT_BYTES]) for k in places]
+
+
+def _dictionary(texts: list[list[tuple[int, bytes]]]) -> bytes:
+    """A first cut of each text, then a second one and so on until it is full; those of a text stay together."""
+    chosen: list[tuple[int, int, bytes]] = []
+    total = 0
+    for turn in range(max(map(len, texts), default=0)):
+        for i, made in enumerate(texts):
+            if turn < len(made) and total < DICTIONARY_BYTES:
+                chosen.append((i, *made[turn]))
+                total += len(made[turn][1]) + 1
+    return b"\n".join(c for *_, c in sorted(chosen))[:DICTIONARY_BYTES].ljust(8, b"\n")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -71,16 +89,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0] / scale), float(beta[1])
 
 
-def train(first: list[tuple[bytes, int]], second: list[tuple[bytes, int]], share: dict[int, float]) -> QualityModel | None:
-    """Dictionaries from the `first` labelled texts, curve from the `second`; `share` is how often a label is met."""
-    if {y for _, y in first} != {0, 1} or {y for _, y in second} != {0, 1}:
-        return None
-    model = QualityModel(*(_dictionary([t for t, y in first if y == label]) for label in (1, 0)))
-    good, bad = model.compressors()
-    y = np.array([label for _, label in second], float)
+def calibrate(model: QualityModel, saved: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: dict[int, float]) -> QualityModel:
+    """Mean and curve from what is saved on labelled texts of these sizes; `share` is how often a label is met."""
     w = np.where(y == 1, share[1] / y.sum(), share[0] / (1 - y).sum()) * len(y)
-    model.middle = float(np.average([difference(t, good, bad) for t, _ in second], weights=w))
-    model.slope, model.shift = _logistic(np.array([difference(t, good, bad, model.middle) for t, _ in second]), y, w)
+    model.middle = float(np.average(saved / (sizes + PRIOR_BYTES), weights=w))
+    model.slope, model.shift = _logistic((PRIOR_BYTES * model.middle + saved) / (sizes + PRIOR_BYTES), y, w)
     return model
 
 
@@ -89,8 +102,9 @@ def fit(
 ) -> QualityModel | None:
     """Fit on at most `rows` labelled rows of each label, chosen by a hash of the id.
 
-    Every second of them goes into the dictionaries, the others calibrate. Rows with a null label, id or text teach
-    nothing; with one label only there is no model.
+    Every second of them goes into the dictionaries, by cuts from places all over the text; the others calibrate and
+    are compressed as a whole in the tasks that read them. Rows with a null label, id or text teach nothing; with one
+    label only there is no model.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     marked = (
@@ -104,17 +118,39 @@ def fit(
     size = F.coalesce(*[F.when(F.col("label") == label, n) for label, n in share.items()], F.lit(0.0))
     likely = marked.where(may_be_among_first(F.col("doc_id"), rows, size))
     chosen = likely.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "label", "place")
-    found = (
+    chosen = written(chosen, "chosen")
+    texts = (
         docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # 2 x rows at most
         .where("text IS NOT NULL")
-        .select("label", "place", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-        .toArrow()
-        .to_pylist()
+        .select("label", "place", "text")
     )
-    found.sort(key=lambda r: (r["place"], r["label"], r["text"]))
-    part = lambda odd: [(r["text"].encode(), r["label"]) for r in found if r["place"] % 2 == odd]
-    return train(part(1), part(0), share)
+
+    def cut(batch):
+        made = {"label": batch.column(0), "place": batch.column(1), "at": [], "cut": []}
+        for text in text_bytes(batch):
+            found = cuts(text)
+            made["at"].append([k for k, _ in found])
+            made["cut"].append([c for _, c in found])
+        yield made
+
+    def compress(batch):
+        raw, (good, bad) = text_bytes(batch), shared.value.compressors()
+        yield {"label": batch.column(0), "saved": [saved(t, good, bad) for t in raw], "size": [len(t) for t in raw]}
+
+    # SAMPLE_BYTES of each text at most
+    first = in_batches(texts.where("place % 2 = 1"), cut, "label int, place int, at array<int>, cut array<binary>").toArrow().to_pylist()
+    first.sort(key=lambda r: (r["place"], r["label"], r["at"], r["cut"]))
+    parts = [[list(zip(r["at"], r["cut"], strict=True)) for r in first if r["label"] == label] for label in (1, 0)]
+    if not all(parts):
+        return None
+    model = QualityModel(*map(_dictionary, parts))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES
+    second = in_batches(texts.where("place % 2 = 0"), compress, "label int, saved bigint, size bigint").toArrow().to_pylist()
+    second.sort(key=lambda r: (r["label"], r["saved"], r["size"]))
+    if {r["label"] for r in second} != {0, 1}:
+        return None
+    return calibrate(model, *(np.array([r[k] for r in second], float) for k in ("saved", "size", "label")), share)
 
 
 def score(docs: DataFrame, model: QualityModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -274,6 +274,21 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
 
 
+def test_quality_behind_a_common_head(spark):
+    """What tells good from bad is behind 7,000 bytes that all texts begin with."""
+    rng = random.Random(2)
+    head = " ".join(rng.choice(BASE) + str(rng.randrange(10**4)) for _ in range(900))[:7000]
+    tails = [[f"{w} click now " for w in BASE], [f"{w} of the " for w in BASE]]
+    make = lambda y: head + " ".join(rng.choices(tails[y], k=200))
+    rows = [(i, make(i % 2), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    assert b"of the" in model.good and b"of the" not in model.bad
+    assert b"click" in model.bad and b"click" not in model.good
+    fresh = spark.createDataFrame([(i, make(i % 2)) for i in range(50)], "doc_id long, text string")
+    assert all(r.predicted == r.doc_id % 2 for r in quality.score(fresh, model).collect())
+
+
 def test_urls(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
     cases = {
