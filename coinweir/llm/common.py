@@ -81,6 +81,17 @@ def in_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]],
     return df.mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, wanted: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
+    """Whole rows of `df` whose text is wanted, decided in the pass that reads them."""
+
+    def run(batches):
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
+            yield batch.filter(pa.array(wanted(text_bytes(batch)), pa.bool_()))
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker stays for later tasks, beside its executor's JVM."""
     pa.default_memory_pool().release_unused()

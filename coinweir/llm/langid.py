@@ -68,6 +68,18 @@ class CentroidModel:
         best = cosines.argmax(axis=1)
         return best, cosines[np.arange(len(best)), best]
 
+    def judge(self, raw: list[bytes | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+        """Language, score and whether it is rejected of each text."""
+        langs, scores, refused = [UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw)
+        rows = [i for i, t in enumerate(raw) if t and has_letter(t)]
+        for k in range(0, len(rows), SCORED):
+            part = rows[k : k + SCORED]
+            best, cosine = self.nearest(np.array([counts_of(raw[i]) for i in part]))
+            least = self.least(best, np.array([len(raw[i]) for i in part]))
+            for i, j, c, limit in zip(part, best, np.clip(cosine, 0, 1), least, strict=True):
+                langs[i], scores[i], refused[i] = self.languages[j], c, bool(c < limit)
+        return langs, scores, refused
+
     def least(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Limits of texts of these bytes at their centroids, between two bands in proportion to the logarithm."""
         at = np.clip(np.log2(sizes) - BANDS[0], 0, len(BANDS) - 1)
@@ -289,14 +301,7 @@ def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc
 
     def step(batch):
         raw, m = text_bytes(batch), shared.value
-        langs, scores, refused = [UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw)
-        rows = [i for i, t in enumerate(raw) if m is not None and t and has_letter(t)]
-        for k in range(0, len(rows), SCORED):
-            part = rows[k : k + SCORED]
-            best, cosine = m.nearest(np.array([counts_of(raw[i]) for i in part]))
-            least = m.least(best, np.array([len(raw[i]) for i in part]))
-            for i, j, c, limit in zip(part, best, np.clip(cosine, 0, 1), least, strict=True):
-                langs[i], scores[i], refused[i] = m.languages[j], c, bool(c < limit)
+        langs, scores, refused = m.judge(raw) if m is not None else ([UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw))
         yield {"doc_id": batch.column(0), "lang_pred": langs, "score": scores, "rejected": refused}
 
     return in_batches(

@@ -41,6 +41,12 @@ class QualityModel:
         )
         return make(self.good), make(self.bad)
 
+    def judge(self, raw: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Difference and score of each text."""
+        good, bad = self.compressors()
+        x = np.array([difference(t or b"", good, bad, self.middle) for t in raw])
+        return x, 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -30, 30)))
+
 
 def difference(text: bytes, good, bad, middle: float = 0.0) -> float:
     """(size with the bad dictionary - size with the good one) / bytes.
@@ -164,12 +170,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_column: str = "doc_id"
 
     def step(batch):
         model, raw = shared.value, text_bytes(batch)
-        if model is None:
-            x, p = np.zeros(len(raw)), np.full(len(raw), 0.5)
-        else:
-            good, bad = model.compressors()
-            x = np.array([difference(t or b"", good, bad, model.middle) for t in raw])
-            p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30)))
+        x, p = model.judge(raw) if model is not None else (np.zeros(len(raw)), np.full(len(raw), 0.5))
         yield {"doc_id": batch.column(0), "difference": x, "score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
     return in_batches(

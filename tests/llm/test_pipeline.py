@@ -1,13 +1,14 @@
 """The pipeline's stages against their operators' decisions, and what is registered."""
 
 import hashlib
+from collections import Counter
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from coinweir.llm import bpe, decontam, jaccard
+from coinweir.llm import bpe, decontam, jaccard, langid, quality
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +37,68 @@ def test_stages(spark):
     want = bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).select("doc_id", F.sha2("ids", 256).alias("h"))
     assert {k: v.hex() for k, v in got.items()} == {r.doc_id: r.h for r in want.collect()}
     assert 0 < len(got) < raw.count()
+
+
+def _plain_duplicates(rows):
+    """Kept (id, text) by comparing all pairs of rows."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    top = list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return Counter(rows[i] for i in range(len(rows)) if find(i) == i)
+
+
+def _rows(df):
+    return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Decisions hold for each row: null ids, repeated rows, one id with two texts."""
+    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() if r.text and len(r.text.split()) >= 10]
+    base = [(r.doc_id, r.text) for r in raw.select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    words = [f"w{i}" for i in range(100)]
+    near = [" ".join(words), " ".join([*words, "end"]), " ".join(["other"] + words)]
+    extra = [(None, near[0]), (None, near[1]), (None, near[1]), (7001, near[2]), (None, "only here without an id"), (None, "only here without an id")]
+    extra += [(7002, "one text of an id with two")] * 5 + [(7002, "quite another text, and a clean one"), (7003, None), (None, None), (None, "")]
+    extra += [(7004, items[0]), (7004, "clean words beside a contaminated text"), (None, items[0]), (7005, "!!! 123"), (None, "!!! 123")]
+    extra += [(None, t) for _, t in base[:20]]
+    docs = spark.createDataFrame(base + extra, "doc_id long, text string").repartition(5)
+    got = _rows(corpus_pipeline.duplicate_stage(spark, docs, FOLDER))
+    assert got == _plain_duplicates(base + extra)
+
+    windows = set()
+    for text in [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]:
+        w = decontam.words_of((text or "").encode())
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+
+    def hit(text):
+        w = decontam.words_of((text or "").encode())
+        return any(tuple(w[i : i + n]) in windows for n in range(1, 11) for i in range(len(w) - n + 1))
+
+    got = _rows(corpus_pipeline.decontamination_stage(spark, docs, FOLDER))
+    assert got == Counter(r for r in base + extra if not hit(r[1]))
+    assert (None, items[0]) not in got
+    assert got[7004, "clean words beside a contaminated text"] == 1
+
+    texts = list(enumerate(t for _, t in base + extra))
+    numbered = spark.createDataFrame(texts, "doc_id long, text string")
+    model = langid.fit(raw)
+    good = {r.doc_id for r in langid.identify(numbered, model).where("NOT rejected").collect()}
+    assert _rows(corpus_pipeline.language_stage(spark, docs, FOLDER)) == Counter((base + extra)[i] for i in good)
+    model = quality.fit(raw, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    good = {r.doc_id for r in quality.score(numbered, model).where("predicted = 1").collect()}
+    assert _rows(corpus_pipeline.quality_stage(spark, docs, FOLDER)) == Counter((base + extra)[i] for i in good)
