@@ -154,6 +154,13 @@ enter(
     lambda s, d: P.carry_section(typed(mixed_lines(s, d))).where(F.col("line_no") % 10 == 0).select("statement_id", (F.col("line_no") / 10).cast("bigint").alias("k"), "section"),
     f"WITH {TYPED} SELECT statement_id, k, section FROM placed",
 )
+# Every line; carry_section keeps to the first of each order, as its check does.
+enter(
+    "carry_section_lines",
+    lambda s, d: P.carry_section(typed(mixed_lines(s, d))).select("statement_id", "line_no", "section"),
+    f"""WITH {TYPED} SELECT statement_id, k * 10 + pos AS line_no, section FROM placed, range(4) r(pos)
+      WHERE pos < CASE variant WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END""",
+)
 enter(
     "carry_date",
     lambda s, d: P.carry_date(plain_lines(s, d), REF_YEAR).select("statement_id", "line_no", "last_date"),
