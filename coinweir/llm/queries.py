@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coinweir.llm import bpe, decontam, jaccard, langid, lm_scores, quality, token_counts, token_files, topk, urls
+from coinweir.llm import bpe, clustering, collocations, decontam, jaccard, langid, lm_scores, quality, superminhash, token_counts, token_files, topk, urls
+from coinweir.llm import checks as K
 from coinweir.llm.common import fold, table
 from coinweir.session import fresh_path
 
@@ -85,6 +86,18 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def vector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"), k=40, rounds=5, dim=64, salt="2:")
+
+
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), max_words=3, least=10, hold=50, first=2000)
+
+
+def minhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_compression": quality_scores,
     "op2_bpe_round_trip": bpe_round_trip,
@@ -96,5 +109,15 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_windows": benchmark_hits,
     "op9_token_counts": document_token_counts,
     "op10_url_filter": url_verdicts,
+    "op11_orchard_clusters": vector_clusters,
+    "op12_phrase_collocations": phrase_collocations,
+    "op13_superminhash": minhash_groups,
+}
+CHECKS: dict[str, str] = {
+    "op4_exact_topk": K.TOP_PRODUCTS,
+    "op5_ngram_jaccard": K.near_duplicates(3, 90),
+    "op8_benchmark_windows": K.BENCHMARK_HITS,
+    "op11_orchard_clusters": K.clusters(40, 5),
+    "op12_phrase_collocations": K.COLLOCATIONS,
+    "op13_superminhash": f"SELECT *, doc_id = component_id AS kept FROM ({K.near_duplicates(4, 80)})",
 }
-CHECKS: dict[str, str] = {}
