@@ -151,12 +151,17 @@ def test_sort_finds_equal_parts():
     rng = np.random.default_rng(4)
     columns = [rng.integers(0, 9, 3000) for _ in range(3)]
     weights = rng.integers(1, 4, 3000)
-    got = {tuple(int(columns[j][at]) for j in range(d + 1)): w for d, at, w in collocations.equal_parts(columns, weights, [np.arange(3000)], [10, 10, 10])}
+    got = {}
+    for d, found, totals in collocations.equal_parts(columns, weights, np.array([1000, 1, 1999]), [10, 10, 10]):
+        for at, w in zip(found.tolist(), totals.tolist(), strict=True):
+            key = (np.searchsorted([1000, 1001], at, "right"), *(int(columns[j][at]) for j in range(d + 1)))
+            assert key not in got
+            got[key] = w
     want = Counter()
-    for row, w in zip(zip(*columns, strict=True), weights.tolist(), strict=True):
+    for i, (row, w) in enumerate(zip(zip(*columns, strict=True), weights.tolist(), strict=True)):
         for d in range(1, 4):
             if 0 not in row[:d]:
-                want[tuple(map(int, row[:d]))] += w
+                want[(np.searchsorted([1000, 1001], i, "right"), *map(int, row[:d]))] += w
     assert got == {k: w for k, w in want.items() if w >= 10}
 
 
