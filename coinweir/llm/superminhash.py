@@ -8,9 +8,12 @@ ranks cannot change any: a large set stops after a few.
 * BANDS bands of ROWS slots are keys. Sets of similarity s share a key but for (1 - s**ROWS)**BANDS: 3 in a million at
   0.8, one in 10 million million at 0.9.
 * Equal sets are one class. Keys that only one class has are dropped. Nothing is paired with all others of its key:
-  each class is compared with the most central one of its keys, links become components, classes outside the largest
-  component of a key are compared with its most central member, and what is left after that with the members of other
-  components of its keys.
+  each class is compared with the most central one of its keys, links become components, and classes outside the
+  largest component of a key are compared with its most central member, the head.
+* What is left after that is found by edits: the shingles in which a class differs from the head. Of two classes that
+  are similar while one is not similar to the head, both must have made some of the same edits, and how many follows
+  from their sizes. So prefixes of the edits are joined, shingles that the head lacks first, with the usual bounds by
+  place. Near copies of one text that differ from it in their own ways share too few edits to meet, however many.
 * Pairs whose signatures agree in fewer than LEAST_EQUAL slots are dropped (at 0.8 more than 6 standard deviations
   below the mean). All others are confirmed on their full sets.
 """
@@ -175,18 +178,68 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return written(_keep(joined(near, sets, "tokens"), similar, columns).distinct(), "links")
 
 
+def shared_edits(members: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """rep and other of members of different components that can be similar by their edits.
+
+    members: distinct lead, rep, top and main, the component of the lead; those with another top are not similar to
+    it. With E the edits of a class and n its size, |E & E'| >= (|E| + |E'| - g (n + n')) / 2 for similar ones, where
+    g = (100 - percent) / (100 + percent). |E| - g n is at least - g m for a lead of size m, and more than g m for a
+    class that is not similar to the lead: that bounds the number of common edits from below for each class alone.
+    """
+    columns = f"lead {kind}, token bigint, rep {kind}, top {kind}, at int, e int, n int, inside boolean"
+    fields = arrow_schema(members.sparkSession, columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, rows = [], []
+            for i, (x, h, inside) in enumerate(zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True)):
+                x, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
+                new = np.isin(x, h, assume_unique=True, invert=True)
+                gone = h[np.isin(h, x, assume_unique=True, invert=True)]
+                e = int(new.sum()) + len(gone)
+                common = (100 + percent) * e - (100 - percent) * (len(x) - len(h) if inside else len(x) + len(h))
+                first = e - max(1, -(-common // (2 * (100 + percent)))) + 1
+                if first > 0:
+                    made.append(np.concatenate((x[new], gone))[:first].view(np.int64))
+                    rows.append((i, e, len(x)))
+            if rows:
+                per = [len(tokens) for tokens in made]
+                back = pa.array(np.repeat([r[0] for r in rows], per))
+                arrays = [
+                    batch.column(0).take(back), pa.array(np.concatenate(made)), batch.column(1).take(back), batch.column(2).take(back),
+                    pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in per])),
+                    *(pa.array(np.repeat(np.array([r[k] for r in rows], np.int32), per)) for k in (1, 2)),
+                    batch.column(5).take(back),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+        release()
+
+    of = lambda end: sets.select(F.col("rep").alias(end), F.col("tokens").alias(f"of_{end}"))
+    joined = members.join(of("rep"), "rep").join(of("lead"), "lead")
+    inside = (F.col("top") == F.col("main")).alias("inside")
+    edits = written(joined.select("lead", "rep", "top", "of_rep", "of_lead", inside).mapInArrow(run, columns), "edits")
+    several = edits.groupBy("lead", "token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("lead", "token")
+    edits = written(edits.join(several, ["lead", "token"]), "edits")
+    other = edits.where("NOT inside").select("lead", "token", *(F.col(c).alias(f"{c}_o") for c in ("rep", "top", "at", "e", "n")))
+    n, n_o = F.col("n").cast("bigint"), F.col("n_o").cast("bigint")
+    follow = F.least(F.col("e") - F.col("at"), F.col("e_o") - F.col("at_o")).cast("bigint") * (2 * (100 + percent))
+    bound = follow >= (F.col("e") + F.col("e_o")) * F.lit(100 + percent).cast("bigint") - (n + n_o) * (100 - percent)
+    length = F.least(n, n_o) * 100 >= F.greatest(n, n_o) * percent
+    return edits.join(other, ["lead", "token"]).where(F.col("top") != F.col("top_o")).where(length & bound).select("rep", F.col("rep_o").alias("other"))
+
+
 def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
     ends = rows.where(F.col(left) != F.col(right))
     return written(ends.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), "pairs")
 
 
-def _placed(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of keys that several components have, with the component (top), and each such key's largest one (main)."""
     found = components(links).select(F.col("node").alias("rep"), F.col("root"))
     placed = written(shared.join(found, "rep", "left").withColumn("top", F.coalesce("root", "rep")).drop("root"), "placed")
     sizes = placed.groupBy("key", "top").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "top"))["top"].alias("main"), F.count(F.lit(1)).alias("tops"))
-    return placed.join(written(main.where("tops > 1").select("key", "main"), "mains"), "key"), main
+    return written(placed.join(main.where("tops > 1").select("key", "main"), "key"), "placed")
 
 
 def near_duplicates(
@@ -224,15 +277,17 @@ def near_duplicates(
     links = check(_pairs(first, "rep", "lead"))
 
     # classes outside the largest component of a key with its most central member
-    placed, main = _placed(shared, links)
+    placed = _placed(shared, links)
     heads = placed.where("top = main").groupBy("key").agg(central).select("key", F.col("lead.rep").alias("lead"))
     near = placed.where("top <> main").join(heads, "key")
     links = written(links.unionByName(check(_pairs(near, "rep", "lead"))), "links")
 
-    # and with the members of all other components of their keys
-    placed, main = _placed(shared, links)
-    others = placed.select("key", F.col("rep").alias("other"), F.col("top").alias("other_top"))
-    rest = placed.where("top <> main").join(others, "key").where("top <> other_top")
+    # members of a key that are in different components still, one of them not similar to the head
+    placed = _placed(shared, links)
+    heads = placed.where("top = main").groupBy("key").agg(central).select("key", F.col("lead.rep").alias("lead"))
+    around = placed.join(heads, "key").where("rep <> lead").select("lead", "rep", "top", "main").distinct()
+    around = written(around, "around")
+    rest = shared_edits(around, sets, percent, kind).unionByName(around.where("top <> main").select("rep", F.col("lead").alias("other")))
     found = components(links.unionByName(check(_pairs(rest, "rep", "other"))))
 
     shown = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("root", "rep").alias("component_id"))
