@@ -12,8 +12,8 @@ ranks cannot change any: a large set stops after a few.
   largest component of a key are compared with its most central member, the head.
 * What is left after that is found by edits: the shingles in which a class differs from the head. Of two classes that
   are similar while one is not similar to the head, both must have made some of the same edits, and how many follows
-  from their sizes. So prefixes of the edits are joined, shingles that the head lacks first, with the usual bounds by
-  place. Near copies of one text that differ from it in their own ways share too few edits to meet, however many.
+  from their sizes. So prefixes of the edits are joined, rare ones first, with the usual bounds by place. Near copies
+  of one text that differ from it in their own ways share too few edits to meet, however many.
 * Pairs whose signatures agree in fewer than LEAST_EQUAL slots are dropped (at 0.8 more than 6 standard deviations
   below the mean). All others are confirmed on their full sets.
 """
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coinweir.llm.common import WORD_HASHES, arrow_schema, bit_map, bit_test, cell, groups, in_batches, mix, release, shingle_hashes, text_bytes, written
@@ -186,7 +186,7 @@ def shared_edits(members: DataFrame, sets: DataFrame, percent: int, kind: str) -
     g = (100 - percent) / (100 + percent). |E| - g n is at least - g m for a lead of size m, and more than g m for a
     class that is not similar to the lead: that bounds the number of common edits from below for each class alone.
     """
-    columns = f"lead {kind}, token bigint, rep {kind}, top {kind}, at int, e int, n int, inside boolean"
+    columns = f"lead {kind}, token bigint, rep {kind}, top {kind}, e int, n int, first int, inside boolean"
     fields = arrow_schema(members.sparkSession, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,32 +194,29 @@ def shared_edits(members: DataFrame, sets: DataFrame, percent: int, kind: str) -
             made, rows = [], []
             for i, (x, h, inside) in enumerate(zip(batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True)):
                 x, h = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64)
-                new = np.isin(x, h, assume_unique=True, invert=True)
-                gone = h[np.isin(h, x, assume_unique=True, invert=True)]
-                e = int(new.sum()) + len(gone)
-                common = (100 + percent) * e - (100 - percent) * (len(x) - len(h) if inside else len(x) + len(h))
-                first = e - max(1, -(-common // (2 * (100 + percent)))) + 1
+                tokens = np.setxor1d(x, h, assume_unique=True)
+                common = (100 + percent) * len(tokens) - (100 - percent) * (len(x) - len(h) if inside else len(x) + len(h))
+                first = len(tokens) - max(1, -(-common // (2 * (100 + percent)))) + 1
                 if first > 0:
-                    made.append(np.concatenate((x[new], gone))[:first].view(np.int64))
-                    rows.append((i, e, len(x)))
+                    made.append(tokens.view(np.int64))
+                    rows.append((i, len(tokens), len(x), first))
             if rows:
-                per = [len(tokens) for tokens in made]
-                back = pa.array(np.repeat([r[0] for r in rows], per))
-                arrays = [
-                    batch.column(0).take(back), pa.array(np.concatenate(made)), batch.column(1).take(back), batch.column(2).take(back),
-                    pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in per])),
-                    *(pa.array(np.repeat(np.array([r[k] for r in rows], np.int32), per)) for k in (1, 2)),
-                    batch.column(5).take(back),
-                ]
+                back = pa.array(np.repeat([r[0] for r in rows], [len(tokens) for tokens in made]))
+                numbers = [pa.array(np.array([r[k] for r in rows], np.int32)) for k in (1, 2, 3)]
+                again = pa.array(np.repeat(np.arange(len(rows)), [len(tokens) for tokens in made]))
+                arrays = [batch.column(0).take(back), pa.array(np.concatenate(made)), *(batch.column(k).take(back) for k in (1, 2)), *(v.take(again) for v in numbers), batch.column(5).take(back)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=fields)
         release()
 
     of = lambda end: sets.select(F.col("rep").alias(end), F.col("tokens").alias(f"of_{end}"))
-    joined = members.join(of("rep"), "rep").join(of("lead"), "lead")
+    several = members.groupBy("lead").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("lead")
+    joined = members.join(several, "lead").join(of("rep"), "rep").join(of("lead"), "lead")
     inside = (F.col("top") == F.col("main")).alias("inside")
     edits = written(joined.select("lead", "rep", "top", "of_rep", "of_lead", inside).mapInArrow(run, columns), "edits")
-    several = edits.groupBy("lead", "token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("lead", "token")
-    edits = written(edits.join(several, ["lead", "token"]), "edits")
+    made = edits.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("made"), (F.min("top") < F.max("top")).alias("shared"))
+    place = Window.partitionBy("lead", "rep", "top").orderBy("made", "token")
+    edits = edits.join(made, ["lead", "token"]).withColumn("at", F.row_number().over(place) - 1).where("shared AND at < first")
+    edits = written(edits.drop("made", "shared", "first"), "edits")
     other = edits.where("NOT inside").select("lead", "token", *(F.col(c).alias(f"{c}_o") for c in ("rep", "top", "at", "e", "n")))
     n, n_o = F.col("n").cast("bigint"), F.col("n_o").cast("bigint")
     follow = F.least(F.col("e") - F.col("at"), F.col("e_o") - F.col("at_o")).cast("bigint") * (2 * (100 + percent))
