@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from coinweir import schemas
+from coinweir.operators import summaries
+from coinweir.plans import state
 from coinweir.plans.imports import STORED, import_transactions
 from coinweir.session import fresh_path
 
-# Sessions of one key are merged before the shuffle, so a busy key sends few partial sessions.
-MERGE_SESSIONS_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# For `run_available`: sessions of one key are merged before the shuffle, so a busy key sends few partial sessions.
+MERGE_SESSIONS_FIRST = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -23,24 +25,35 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str | None = None) -> None:
-    """Append everything available now to `out`; the checkpoint makes a restart continue where it stopped."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint or f"{out}-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def run_available(stream: DataFrame, out: str, checkpoint: str | None = None, settings: dict[str, str] | None = None) -> None:
+    """Append everything available now to `out`; the checkpoint makes a restart continue where it stopped.
+
+    A query keeps the settings that it is started with, so `settings` are put back at once.
+    """
+    spark = stream.sparkSession
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    try:
+        for key, value in (settings or {}).items():
+            spark.conf.set(key, value)
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint or f"{out}-checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
+def drain(stream: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Run a stream over what is available and read the result back."""
     spark = stream.sparkSession
     out = fresh_path(spark, label)
-    run_available(stream, out)
+    run_available(stream, out, settings=settings)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -57,20 +70,20 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str = "created_at",
 def stream_freq_windows(
     stream: DataFrame, keys: Sequence[str], ts: str = "created_at", delay: str = "1 day", width: str = "7 days", slide: str = "1 day"
 ) -> DataFrame:
-    """Closed sliding windows with their row count per key."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, width, slide), *keys)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_rows")
-    )
+    """Closed sliding windows with their row count per key.
+
+    Rows are counted once, in panes as long as the slide; a second stateful count adds up the panes of each window,
+    so only counts are copied into the windows they belong to. `width` is a multiple of `slide`.
+    """
+    panes = stream.withWatermark(ts, delay).groupBy(F.window(ts, slide).alias("pane"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    windows = panes.groupBy(F.window(F.window_time("pane"), width, slide).alias("window"), *keys).agg(F.sum("n").alias("n_rows"))
+    return windows.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_rows")
 
 
 def stream_burst_sessions(
     stream: DataFrame, keys: Sequence[str], ts: str = "created_at", delay: str = "1 day", gap: str = "1 hour", min_rows: int = 5
 ) -> DataFrame:
-    """Closed sessions of a key with at least `min_rows` rows."""
-    stream.sparkSession.conf.set(MERGE_SESSIONS_FIRST, "true")
+    """Closed sessions of a key with at least `min_rows` rows; best run with MERGE_SESSIONS_FIRST."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.session_window(ts, gap), *keys)
@@ -82,20 +95,24 @@ def stream_burst_sessions(
     )
 
 
-def _read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing there yet
-        return None
+PROGRESS = "last_id bigint, newest timestamp"
 
 
 class ImportStream:
-    """Each micro-batch of import rows runs the import job against the tables the earlier ones left.
+    """Each micro-batch of import rows runs the import job against the state that the earlier ones left.
+
+    State lives under `root`. Each user's newest rows and the merchant cache are kept in hash buckets of the user, in
+    versions (`state.BucketedTable`): a batch reads and writes the buckets of its own users, so its cost does not grow
+    with the number of batches. The largest id and the newest time so far are one row, the categories one small table.
+    Everything else is one folder per batch, written by overwrite: a batch that is run again after a failure replaces
+    its own output and never sees it as history.
 
-    State lives under `root`, one folder per batch, written by overwrite: a batch that is run again after a
-    failure replaces its own output and never sees it as history.
+    Rows older than the newest time of the batches before by more than `late_after` are late: they are imported like
+    others and also kept in the table `late`.
     """
 
+    TABLES = ("transactions", "uploads", "quarantine", "rejected")
+
     def __init__(
         self,
         root: str,
@@ -108,40 +125,62 @@ class ImportStream:
         to_rows: Callable[[DataFrame], DataFrame] = lambda batch: batch,
         late_after: str = "1 day",
         scorer=None,
+        buckets: int = state.BUCKETS,
     ) -> None:
         self.root, self.uploads, self.answers, self.now = root, uploads, answers, now
-        self.first = {"cache": cache, "categories": categories, "transactions": stored}
+        self.first = {"cache": cache, "categories": categories, "transactions": stored.select(*STORED)}
         self.to_rows, self.late_after, self.scorer = to_rows, late_after, scorer
+        self.recent = state.BucketedTable(f"{root}/recent", summaries.recent_arrays(self.first["transactions"]).schema, buckets=buckets)
+        self.cache = state.BucketedTable(f"{root}/cache", schemas.MERCHANT_CACHE, buckets=buckets)
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/batch={batch_id}"
 
-    def _snapshot(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-        """Cache and categories are written whole by every batch; the batch before has the latest."""
-        written = _read_if_written(spark, self._path(table, batch_id - 1))
-        return self.first[table] if written is None else written
-
-    def _stored(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """What was stored at the start and by the batches before this one."""
-        stored = self.first["transactions"].select(*STORED)
-        written = _read_if_written(spark, f"{self.root}/transactions")
-        return stored if written is None else stored.unionByName(written.where(F.col("batch") < batch_id).select(*STORED))
+    def _last(self, spark: SparkSession, table: str, before: int) -> DataFrame:
+        """A table that is written whole, as the batch before left it."""
+        earlier = [n for n in state.numbers_under(spark, f"{self.root}/{table}") if n < before]
+        return spark.read.parquet(self._path(table, earlier[-1]))
+
+    def begin(self, spark: SparkSession) -> None:
+        """Write the state before the first batch, unless it is there. The stored rows are read here and never again."""
+        if state.numbers_under(spark, f"{self.root}/progress"):
+            return
+        stored = self.first["transactions"]
+        self.recent.write(summaries.recent_arrays(stored), state.START)
+        self.cache.write(self.first["cache"], state.START)
+        self.first["categories"].write.mode("overwrite").parquet(self._path("categories", state.START))
+        progress = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"), F.lit(None).cast("timestamp").alias("newest"))
+        progress.write.mode("overwrite").parquet(self._path("progress", state.START))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = self._stored(spark, batch_id)
+        self.begin(spark)
+        rows = self.to_rows(batch)
+        touched = self.recent.touched(rows)
+        progress = self._last(spark, "progress", batch_id).first()
+        recent = self.recent.read(spark, batch_id, touched)
         result = import_transactions(
-            self.to_rows(batch), self.uploads, self._snapshot(spark, "cache", batch_id), self.answers,
-            self._snapshot(spark, "categories", batch_id), stored, self.now, scorer=self.scorer,
+            rows, self.uploads, self.cache.read(spark, batch_id, touched), self.answers, self._last(spark, "categories", batch_id),
+            summaries.recent_rows(recent).select(*STORED), self.now, scorer=self.scorer, last_id=progress.last_id,
         )
-        for table in ("transactions", "cache", "categories", "uploads", "quarantine", "rejected"):
+        for table in self.TABLES:
             result[table].write.mode("overwrite").parquet(self._path(table, batch_id))
-        seen = stored.agg(F.max("created_at").alias("m")).scalar() - F.expr(f"INTERVAL {self.late_after}")
-        written = spark.read.parquet(self._path("transactions", batch_id))
-        late = written.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("created_at") < seen, 1)).alias("n_late"))
-        late.write.mode("overwrite").parquet(self._path("late", batch_id))
+        written = spark.read.schema(result["transactions"].schema).parquet(self._path("transactions", batch_id))
+        bound = F.lit(progress.newest).cast("timestamp") - F.expr(f"INTERVAL {self.late_after}")
+        written.where(F.col("created_at") < bound).write.mode("overwrite").parquet(self._path("late", batch_id))
+        self.recent.write(summaries.merge_recent(recent, summaries.recent_arrays(written.select(*STORED))), batch_id, touched)
+        self.cache.write(result["cache"], batch_id, touched)
+        result["categories"].write.mode("overwrite").parquet(self._path("categories", batch_id))
+        newest = F.greatest(F.max("created_at"), F.lit(progress.newest).cast("timestamp")).alias("newest")
+        done = written.agg(F.coalesce(F.max("id"), F.lit(progress.last_id)).cast("bigint").alias("last_id"), newest)
+        done.write.mode("overwrite").parquet(self._path("progress", batch_id))
+        for table in (self.recent, self.cache):
+            table.forget(spark, batch_id)
+        for name in ("categories", "progress"):
+            state.forget_folders(spark, f"{self.root}/{name}", batch_id)
 
     def run(self, stream: DataFrame) -> None:
+        self.begin(stream.sparkSession)
         query = (
             stream.writeStream.foreachBatch(self)
             .option("checkpointLocation", f"{self.root}/checkpoint")
@@ -151,5 +190,7 @@ class ImportStream:
         query.awaitTermination()
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        """Every batch of a table; for cache and categories use the last batch."""
-        return spark.read.parquet(f"{self.root}/{table}")
+        """The cache, the newest rows or the categories as they are now; of other tables the rows of all batches."""
+        if table in ("cache", "recent"):
+            return getattr(self, table).read(spark, 1 << 62)
+        return self._last(spark, table, 1 << 62) if table == "categories" else spark.read.parquet(f"{self.root}/{table}")

@@ -41,23 +41,55 @@ def test_sessions_and_windows_match_batch(spark):
     assert windows.where("user_id = 'u'").agg(F.max("n_rows"), F.min("n_rows")).first()[:] == (7, 7)
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
+def _rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def _batch(spark, job, number):
+    """The events of a batch of the import stream."""
+    events = spark.read.schema(streams.schemas.EVENTS).parquet(f"{FOLDER}/events.parquet")
+    return events.where(streams._arrival() == number)
+
+
 def test_import_stream_is_idempotent(spark):
-    job = streams.import_stream(spark, "/root/testdata/sf0.001")
-    before = job.read(spark, "transactions").select("upload_id", "row_no", "merchant").collect()
-    batch = streams.schemas.EVENTS
-    events = spark.read.schema(batch).parquet("/root/testdata/sf0.001/events.parquet")
-    job(events, 0)  # the same batch again, as after a lost driver
-    after = job.read(spark, "transactions").select("upload_id", "row_no", "merchant").collect()
-    assert sorted(before) == sorted(after)
-
-
-def test_later_batches_see_earlier_ones(spark):
-    """Two batches number rows without a gap, and the second one counts what is older than the first."""
-    job = streams.import_stream(spark, "/root/testdata/sf0.001")
-    events = spark.read.schema(streams.schemas.EVENTS).parquet("/root/testdata/sf0.001/events.parquet")
-    first = job.read(spark, "transactions").agg(F.max("id").alias("m"), F.count("*").alias("n")).first()
-    job(events, 1)
-    both = job.read(spark, "transactions")
-    assert both.where("batch = 1").agg(F.min("id")).first()[0] == first.m + 1
-    late = job.read(spark, "late").where("batch = 1").first()
-    assert late.n_rows == first.n and 0 < late.n_late < first.n
+    job = streams.import_stream(spark, FOLDER)
+    tables = {"transactions": ("id", "upload_id", "row_no", "merchant", "batch"), "late": ("row_no", "batch"), "cache": ("user_id", "normalized_merchant", "confidence"), "recent": ("user_id", "recent")}
+    before = {name: _rows(job.read(spark, name), *columns) for name, columns in tables.items()}
+    last = max(r[4] for r in before["transactions"])
+    for _ in range(2):
+        job(_batch(spark, job, last), last)  # the same batch again, as after a lost driver
+    assert {name: _rows(job.read(spark, name), *columns) for name, columns in tables.items()} == before
+    assert before["late"]
+
+
+def test_later_batches_number_on_and_see_the_state_only(spark):
+    job = streams.import_stream(spark, FOLDER)
+    spans = job.read(spark, "transactions").groupBy("batch").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert len(spans) == 4
+    for a, b in zip(spans, spans[1:]):
+        assert b.low == a.high + 1 and b.high - b.low + 1 == b.n
+    touched = job.recent.touched(_event_rows_of(_batch(spark, job, 3)))
+    read = job.recent.read(spark, 3, touched).inputFiles()
+    assert read and all(any(f"bucket={b}/" in f for b in touched) for f in read)
+
+
+def _event_rows_of(events):
+    return streams._event_rows(events)
+
+
+def test_session_setting_is_put_back(spark):
+    rows = [(i, "u", 1.0, h) for i, h in enumerate([0, 0.2, 900])]
+    key = next(iter(J.MERGE_SESSIONS_FIRST))
+    before = spark.conf.get(key)
+    assert J.drain(J.stream_burst_sessions(stream_of(spark, rows), ["user_id"], min_rows=2), "s", J.MERGE_SESSIONS_FIRST).count() == 1
+    assert spark.conf.get(key) == before
+
+
+def test_windows_count_rows_once(spark):
+    rows = [(i, "u", 1.0, 24 * (i % 10) + 0.1 * (i % 7)) for i in range(300)]
+    end = [(999, "z", 1.0, 24 * 60)]
+    out = J.drain(J.stream_freq_windows(stream_of(spark, rows, end), ["user_id"]), "w").where("user_id = 'u'")
+    assert out.agg(F.sum("n_rows"), F.max("n_rows"), F.count("*")).first()[:] == (7 * 300, 210, 16)
