@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports", "detectors", "ml", "streams"]
+MODULES = ["reports", "features", "anomaly", "scalars", "statements", "imports", "detectors", "ml", "streams", "state"]
 
 
 def load_all() -> None:

@@ -75,11 +75,16 @@ def _amounts(df: DataFrame) -> DataFrame:
 
 
 def amount_percentiles(df: DataFrame) -> DataFrame:
-    """(user, category, amount) -> average rank over group size, one row per distinct amount.
+    """(user, category, amount) -> average rank over group size, one row per distinct amount."""
+    return percentiles_of_counts(_amounts(df))
+
+
+def percentiles_of_counts(counts: DataFrame) -> DataFrame:
+    """As `amount_percentiles`, from the rows of each amount (`n_rows`).
 
     Ranks accumulate inside cells of near amounts and then over the cells, never over raw rows.
     """
-    amounts = _amounts(df).withColumn("_cell", _amount_cell(F.col("amount")))
+    amounts = counts.withColumn("_cell", _amount_cell(F.col("amount")))
     below_cell = Window.partitionBy(*GROUP).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         amounts.groupBy(*GROUP, "_cell")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from coinweir import schemas
 from coinweir.functions.text import strip, strip_code_fences
+from coinweir.session import cut_lineage
 
 
 def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -14,6 +16,19 @@ def scan_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LABELLED).csv(path, header=True, timestampFormat="yyyy-MM-dd[ HH:mm:ss][.SSSSSS]", escape='"', multiLine=True)
 
 
+CORRUPT = "corrupt_record"
+
+
+def scan_labelled_csv_checked(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the schema, the text of the others): short or long rows, unreadable dates and numbers."""
+    schema = StructType([*schemas.LABELLED.fields, StructField(CORRUPT, StringType())])
+    rows = spark.read.schema(schema).csv(
+        path, header=header, timestampFormat="yyyy-MM-dd[ HH:mm:ss][.SSSSSS]", escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    )
+    rows = cut_lineage(rows)  # read whole once: Spark finds what does not fit in the columns that a query needs only
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select("transaction_id", CORRUPT)
+
+
 def scan_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRANSACTIONS).parquet(path)
 
@@ -67,3 +82,19 @@ def ingest_json_rows(answers: DataFrame, chunks: DataFrame) -> DataFrame:
 def append_transactions(rows: DataFrame, path: str) -> None:
     """Append good rows to the stored transactions."""
     rows.write.mode("append").parquet(path)
+
+
+def store_by_user(txns: DataFrame, name: str, path: str, buckets: int = 256) -> None:
+    """Transactions as table `name` at `path`, in hash buckets of the user, newest first, with a Bloom filter of the ids.
+
+    A user's list or one transaction is looked up in one bucket, and joins and groups by user need no shuffle.
+    """
+    (
+        txns.repartition(buckets, "user_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "user_id")
+        .sortBy("user_id", "created_at")
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("path", path)
+        .saveAsTable(name)
+    )
