@@ -49,7 +49,7 @@ def keyed(s, d):
 
 
 def cache_table(s, d):
-    part = T.read(s, d, "part").where("p_partkey % 2 = 0").select("p_partkey", F.lower("p_name").alias("normalized_merchant"))
+    part = T.read(s, d, "part").select("p_partkey", F.lower("p_name").alias("normalized_merchant"))
     items = T.read(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus")
     n = F.length("normalized_merchant")
     return (
@@ -78,7 +78,7 @@ CACHE = """cache AS (SELECT user_id, normalized_merchant, transaction_type, 'Cat
     'cat_' || length(normalized_merchant) AS normalized_category, length(normalized_merchant) % 10 / 10.0::DOUBLE AS confidence, 'cached' AS reason, 'ai' AS source,
     TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at
   FROM (SELECT DISTINCT CAST(l_suppkey % 50 AS VARCHAR) AS user_id, lower(p_name) AS normalized_merchant, CASE WHEN l_linestatus = 'O' THEN 'income' ELSE 'expense' END AS transaction_type
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 2 = 0)
+    FROM lineitem JOIN part ON l_partkey = p_partkey)
   WHERE user_id <> '7' AND (length(normalized_merchant) + CAST(user_id AS INTEGER)) % 3 <> 0)"""
 
 

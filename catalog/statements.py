@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from catalog import tables as T
 from catalog.book import enter
+from coinweir import schemas
 from coinweir.plans import statements as P
+from coinweir.plans import uploads as U
 from coinweir.sources import files as I
 
 REF_YEAR = 1998
@@ -149,18 +151,10 @@ enter(
     lambda s, d: P.statement_types(mixed_lines(s, d)).select("statement_id", "card_score", "bank_score", "statement_type"),
     f"WITH {TYPED} SELECT statement_id, CAST(0 AS DOUBLE) AS card_score, bank_score, statement_type FROM typed",
 )
-enter(
-    "carry_section",
-    lambda s, d: P.carry_section(typed(mixed_lines(s, d))).where(F.col("line_no") % 10 == 0).select("statement_id", (F.col("line_no") / 10).cast("bigint").alias("k"), "section"),
-    f"WITH {TYPED} SELECT statement_id, k, section FROM placed",
-)
-# Every line; carry_section keeps to the first of each order, as its check does.
-enter(
-    "carry_section_lines",
-    lambda s, d: P.carry_section(typed(mixed_lines(s, d))).select("statement_id", "line_no", "section"),
-    f"""WITH {TYPED} SELECT statement_id, k * 10 + pos AS line_no, section FROM placed, range(4) r(pos)
-      WHERE pos < CASE variant WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END""",
-)
+SECTION_LINES = f"""WITH {TYPED} SELECT statement_id, k * 10 + pos AS line_no, section FROM placed, range(4) r(pos)
+      WHERE pos < CASE variant WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END"""
+enter("carry_section", lambda s, d: P.carry_section(typed(mixed_lines(s, d))).select("statement_id", "line_no", "section"), SECTION_LINES)
+enter("carry_section_lines", lambda s, d: P.carry_section(typed(mixed_lines(s, d))).select("statement_id", "line_no", "section"), SECTION_LINES)
 enter(
     "carry_date",
     lambda s, d: P.carry_date(plain_lines(s, d), REF_YEAR).select("statement_id", "line_no", "last_date"),
@@ -228,7 +222,16 @@ HEADERS = [
 ]
 
 
-def nested_tables(s, d):
+# One word each, in the writing of the file they come from.
+RUN_TOGETHER = [
+    ["TransactionDate", "Description", "AmountCAD", "RUNNINGBALANCE"],
+    ["POSTEDDATE", "Payee", "moneyout", "MoneyIn", "Balance"],
+    ["transdate", "Particulars", "AmountDebit", "amountcredit"],
+    ["When", "Descriptive", "Accretion"],
+]
+
+
+def nested_tables(s, d, headers=HEADERS):
     """Every statement page as one table: a header row, then a row per order of a page of 1,000 order keys."""
     money, kind = F.format_number("o_totalprice", 2), F.col("statement_id") % 4
     debit = F.when(F.col("o_orderstatus") == "F", money).otherwise("")
@@ -239,7 +242,7 @@ def nested_tables(s, d):
         .when(kind == 2, F.array(F.col("date_text"), F.col("name"), debit, credit))
         .otherwise(F.array(F.col("date_text"), F.col("name"), F.col("money")))
     )
-    header = F.element_at(F.lit(HEADERS), (kind + 1).cast("int"))
+    header = F.element_at(F.lit(headers), (kind + 1).cast("int"))
     # A page covers 1,000 order keys, so its rows are few.
     return (
         orders_with_names(s, d)
@@ -268,6 +271,13 @@ enter(
 )
 
 
+enter(
+    "parse_tables_run_together",
+    lambda s, d: P.parse_tables(I.scan_statement_tables(nested_tables(s, d, RUN_TOGETHER)), REF_YEAR).select("statement_id", "page_no", "transaction_date", "description", "amount", "section"),
+    f"WITH {TABLE_ROWS} SELECT * FROM table_rows",
+)
+
+
 def _mixed_input(s, d):
     """Statements 0 mod 3 also come as tables; statements 2 mod 3 are blank pages."""
     n = F.col("statement_id") % 3
@@ -395,3 +405,42 @@ enter(
         o_orderpriority AS description, o_totalprice AS amount FROM orders)
       SELECT statement_id, chunk_no, 'line ' || k AS raw_text, description, amount FROM c WHERE chunk_no % 5 < 2 OR k % 10 > 1""",
 )
+
+
+# ---- upload to preview -------------------------------------------------------------------------------------
+
+
+def previews(s, d):
+    """Plain statements with a cleaner's answer for each chunk; some answers are broken, all leave some rows out."""
+    lines = plain_lines(s, d)
+    no_tables = s.createDataFrame([], schemas.STATEMENT_TABLES)
+    chunks = P.chunk_rows(P.parse_statements(lines, no_tables, REF_YEAR)[0])
+    row = F.struct(
+        F.col("transaction_date").cast("string").alias("transaction_date"), "description", F.abs("amount").cast("string").alias("amount"), "raw_text",
+        F.when(F.col("amount") < 0, " Expense").otherwise("income").alias("transaction_type"),
+    )
+    listed = chunks.groupBy("statement_id", "chunk_no").agg(F.collect_list(F.when(F.col("line_no") % 7 != 3, row)).alias("transactions"))  # a chunk has 50 rows
+    body = F.when((F.col("statement_id") + F.col("chunk_no")) % 5 == 0, "{broken").otherwise(F.to_json(F.struct("transactions")))
+    return U.upload_preview(lines, no_tables, listed.select("statement_id", "chunk_no", body.alias("body")), REF_YEAR)
+
+
+PREVIEW = f"""{NAMED}, p AS (SELECT * FROM named WHERE parsed IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY statement_id, parsed, round(amount, 2), lower(name) ORDER BY page_no, k) = 1),
+  c AS (SELECT *, (row_number() OVER (PARTITION BY statement_id ORDER BY page_no, k) - 1) // 50 AS chunk_no FROM p),
+  d AS (SELECT *, (statement_id + chunk_no) % 5 <> 0 AND k % 7 = 3 AS gone FROM c),
+  v AS (SELECT statement_id, count(*) FILTER (gone) / count(*) > 0.4 OR count(*) FILTER (NOT gone) = 0 AS keep FROM d GROUP BY 1),
+  preview AS (SELECT statement_id, parsed AS transaction_date, name AS description, amount FROM d JOIN v USING (statement_id) WHERE keep OR NOT gone)"""
+enter(
+    "upload_preview",
+    lambda s, d: previews(s, d)[0].select("statement_id", "transaction_date", F.upper("description").alias("description"), "amount"),
+    f"WITH {PREVIEW} SELECT * FROM preview",
+)
+enter(
+    "upload_preview_uploads",
+    lambda s, d: previews(s, d)[1].select("statement_id", "status", "total_transactions", "expense_count", "income_count", "total_expense", "total_income", "parse_error"),
+    f"""WITH {PREVIEW} SELECT s.statement_id, CASE WHEN count(p.amount) > 0 THEN 'parsed' ELSE 'parse_failed' END AS status, count(p.amount) AS total_transactions,
+      count(*) FILTER (p.amount < 0) AS expense_count, count(*) FILTER (p.amount >= 0) AS income_count,
+      round(coalesce(sum(-p.amount) FILTER (p.amount < 0), 0.0), 2) AS total_expense, round(coalesce(sum(p.amount) FILTER (p.amount >= 0), 0.0), 2) AS total_income,
+      CASE WHEN count(p.amount) = 0 THEN 'no_transactions' END AS parse_error
+      FROM (SELECT DISTINCT statement_id FROM named) s LEFT JOIN preview p USING (statement_id) GROUP BY 1""",
+)

@@ -255,6 +255,9 @@ TABLE_HEADERS = {
     "balance": ["balance", "running balance", "available balance", "closing balance"],
 }
 
+# Words beside the ones above in headers that are written as one word.
+HEADER_FILLERS = ["cad", "usd", "eur", "gbp", "account"]
+
 # Scoring.
 HISTORY_ROWS = 200
 RECENT_ROWS = 10

@@ -20,12 +20,13 @@ STORED = [
 SCORE_COLUMNS = ["is_anomaly", "anomaly_status", "anomaly_score", "anomaly_reason", "ml_model_version"]
 
 
-def score_inserted(inserted: DataFrame, stored: DataFrame, scorer=None) -> DataFrame:
+def score_inserted(inserted: DataFrame, stored: DataFrame, scorer=None, exclude_first: bool = False) -> DataFrame:
     """Anomaly columns of new rows against the history before the import.
 
-    `scorer(batch, history)` decides the rows no safeguard covers; without one they keep the fallback reason.
+    `scorer(batch, history)` decides the rows no safeguard covers; without one, and for rows that it leaves out, the
+    fallback reason stands. `exclude_first` takes the new rows out of the history before its limit, not after.
     """
-    history = A.history_exclude_batch(stored.select(*STORED).unionByName(inserted.select(*STORED)), inserted)
+    history = A.history_exclude_batch(stored.select(*STORED).unionByName(inserted.select(*STORED)), inserted, exclude_first=exclude_first)
     as_input = lambda df: df.select(
         F.col("id").alias("transaction_id"), "user_id", F.col("created_at").alias("transaction_date"), "merchant", "amount",
         F.col("category_name").alias("category"), "transaction_type", "notes",
@@ -47,7 +48,50 @@ def score_inserted(inserted: DataFrame, stored: DataFrame, scorer=None) -> DataF
             F.when(~settled, F.lit(V.ANOMALY_FALLBACK_REASON)).alias("anomaly_reason"),
             F.lit(None).cast("string").alias("ml_model_version"),
         )
-    return inserted.join(scored, "id")
+    unscored = F.col("_scored").isNull()
+    return (
+        inserted.join(scored.withColumn("_scored", F.lit(True)), "id", "left")
+        .withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
+        .withColumn("anomaly_reason", F.when(unscored, F.lit(V.ANOMALY_FALLBACK_REASON)).otherwise(F.col("anomaly_reason")))
+        .drop("_scored")
+    )
+
+
+def _insert(classified: DataFrame, kind: str, categories: DataFrame, last: Column, place: list[str], merchant: str, notes: str) -> tuple[DataFrame, DataFrame]:
+    """(categories, new transactions): classified rows with their category and an id, numbered in order of `place`."""
+    at = F.struct(*place)
+    requests = classified.select(
+        F.col("normalized_category").alias("normalized_name"), F.col(kind).alias("transaction_type"), F.col("category_name").alias("name"), at.alias("place")
+    )
+    all_categories, resolved = C.category_resolve(requests, categories, "place")
+    named = attach(
+        classified.withColumn("transaction_type", F.col(kind)),
+        resolved.withColumnRenamed("normalized_name", "normalized_category"),
+        ["normalized_category", "transaction_type"],
+        at,
+        how="inner",  # every request is resolved
+    )
+    # Numbering writes the new rows once; everything after it reads that copy.
+    numbered = sorted_index(named, place, "_n")
+    inserted = numbered.select(
+        (last + F.col("_n") + 1).cast("bigint").alias("id"),
+        "user_id",
+        F.col(merchant).alias("merchant"),
+        F.abs("amount").alias("amount"),
+        F.coalesce(notes, F.lit("")).alias("notes"),
+        "transaction_type",
+        "category_id",
+        F.col("resolved_name").alias("category_name"),
+        "confidence",
+        "reason",
+        "created_at",
+        *place,
+    )
+    return all_categories, inserted
+
+
+def _last_id(stored: DataFrame) -> Column:
+    return F.coalesce(stored.agg(F.max("id").alias("m")).scalar(), F.lit(0))
 
 
 def import_transactions(
@@ -60,12 +104,14 @@ def import_transactions(
     now: Column,
     type_source: str = "sign",
     scorer=None,
+    last_id: int | None = None,
 ) -> dict[str, DataFrame]:
     """Validate, classify, resolve categories, number, score and count.
 
     rows: upload_id, user_id, row_no, transaction_date, description, amount, raw_text. `answers` are the
     classifier's results per key; a key without one takes the fallback. `type_source` is 'sign' (imports) or
-    'classifier' (manual entries).
+    'classifier'. With `last_id`, the largest id so far, `stored` need only hold the newest rows of the rows' users, and
+    `cache` their entries.
     """
     owned, rejected = C.owner_check(rows, uploads)
     checked = validation.validate_import_rows(owned)
@@ -76,39 +122,8 @@ def import_transactions(
     place = F.struct("upload_id", "row_no")
     classified = cut_lineage(C.broadcast_results_back(good, C.merge_results(cache, answers), place))
     kind = "transaction_type" if type_source == "sign" else "answer_type"
-    requests = classified.select(
-        F.col("normalized_category").alias("normalized_name"),
-        F.col(kind).alias("transaction_type"),
-        F.col("category_name").alias("name"),
-        place.alias("place"),
-    )
-    all_categories, resolved = C.category_resolve(requests, categories, "place")
-    typed = classified.withColumn("transaction_type", F.col(kind))
-    named = attach(
-        typed,
-        resolved.withColumnRenamed("normalized_name", "normalized_category"),
-        ["normalized_category", "transaction_type"],
-        place,
-        how="inner",
-    )
-    # Numbering writes the new rows once; everything after it reads that copy.
-    numbered = sorted_index(named, ["upload_id", "row_no"], "_n")
-    last = F.coalesce(stored.agg(F.max("id").alias("m")).scalar(), F.lit(0))
-    inserted = numbered.select(
-        (last + F.col("_n") + 1).cast("bigint").alias("id"),
-        "user_id",
-        F.col("description").alias("merchant"),
-        F.abs("amount").alias("amount"),
-        F.coalesce("raw_text", F.lit("")).alias("notes"),
-        "transaction_type",
-        "category_id",
-        F.col("resolved_name").alias("category_name"),
-        "confidence",
-        "reason",
-        "created_at",
-        "upload_id",
-        "row_no",
-    )
+    last = _last_id(stored) if last_id is None else F.lit(last_id)
+    all_categories, inserted = _insert(classified, kind, categories, last, ["upload_id", "row_no"], "description", "raw_text")
     missed = C.cache_misses(good, cache)
     fresh_answers = answers.join(missed, C.KEY, "left_semi")
     return {
@@ -119,3 +134,30 @@ def import_transactions(
         "quarantine": validation.quarantine(checked),
         "rejected": rejected,
     }
+
+
+def manual_entries(
+    entries: DataFrame, cache: DataFrame, answers: DataFrame, categories: DataFrame, stored: DataFrame, now: Column, scorer=None
+) -> dict[str, DataFrame]:
+    """Entries typed in by users: classified, stored and scored, in one job for all users.
+
+    entries: user_id, entry_no (unique), merchant, amount, notes, transaction_type (null: by sign), created_at. The
+    cache is asked under the entry's type and then under the other one. The classifier (`answers`) is asked where both
+    miss, and its answer, or the cached one, decides the type of the stored row; without either the fallback does.
+    The history of an entry is its user's newest rows before the job: entries do not crowd each other out of it.
+    """
+    checked = cut_lineage(validation.validate_manual_rows(entries))
+    good = validation.good_rows(checked).withColumn("normalized_merchant", normalize_merchant("merchant"))
+    found = cut_lineage(C.cache_join_alt_type(good, cache, F.col("entry_no")))
+    missed = found.where("cached_type IS NULL").drop("cached_type", *C.PAYLOAD)
+    asked = C.broadcast_results_back(missed, answers, F.col("entry_no"))
+    hits = found.where("cached_type IS NOT NULL").withColumnRenamed("cached_type", "answer_type")
+    classified = cut_lineage(hits.unionByName(asked))
+    all_categories, inserted = _insert(classified, "answer_type", categories, _last_id(stored), ["entry_no"], "merchant", "notes")
+    fresh = answers.join(missed.select(*C.KEY).distinct(), C.KEY, "left_semi")
+    return {
+        "transactions": score_inserted(inserted, stored, scorer, exclude_first=True).withColumn("anomaly_checked_at", now),
+        "cache": C.cache_upsert(cache, fresh, now),
+        "categories": all_categories,
+        "quarantine": validation.quarantine(checked),
+    }

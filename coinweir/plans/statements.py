@@ -303,9 +303,45 @@ def _roles(headers: Column) -> Column:
     return assign(list(V.TABLE_HEADERS), [])
 
 
+HEADER_WORDS = sorted({w.strip(".") for names in V.TABLE_HEADERS.values() for name in names for w in name.split()} | set(V.HEADER_FILLERS), key=lambda w: (-len(w), w))
+
+
+UNCUT = "?"
+
+
+def _cut_into_words(text: Column) -> Column:
+    """A text made up of header words alone, with spaces between them; else UNCUT.
+
+    `ends` holds for every place of the text how the part before it is cut; a place is reached from those that one word
+    leads from, long words first.
+    """
+
+    def reached(ends: Column, place: Column) -> Column:
+        def by(word: Column) -> Column:
+            start = place - F.length(word)
+            before = F.element_at(ends, F.greatest(start, F.lit(0)) + 1)
+            fits = (start >= 0) & (before != UNCUT) & (F.substring(text, start + 1, F.length(word)) == word)
+            return F.when(fits, F.trim(F.concat(before, F.lit(" "), word))).otherwise(F.lit(UNCUT))
+
+        ways = F.filter(F.transform(F.lit(HEADER_WORDS), by), lambda way: way != UNCUT)
+        return F.concat(ends, F.array(F.element_at(F.concat(ways, F.array(F.lit(UNCUT))), 1)))
+
+    places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i > 0)
+    return F.element_at(F.aggregate(places, F.array(F.lit("")), reached), -1)
+
+
+def header_name(cell: Column) -> Column:
+    """A header in lower case; words written together are taken apart, by their capitals or as header words."""
+    text = strip(F.coalesce(cell, F.lit("")))
+    spaced = F.lower(F.regexp_replace(text, r"(?<=[a-z])(?=[A-Z])", " "))
+    plain = F.lower(text)
+    whole = spaced.contains(" ") | plain.isin(HEADER_WORDS) | (F.length(plain) > 60)
+    return F.when(whole, spaced).otherwise(let(_cut_into_words(plain), lambda words: F.when(words == UNCUT, plain).otherwise(words)))
+
+
 def table_roles(tables: DataFrame) -> DataFrame:
     """Column roles of every table, from its header row; one row per usable table."""
-    headers = F.transform("cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
+    headers = F.transform("cells", header_name)
     found = tables.where(F.col("row_no") == 0).select(*PAGE, "table_no", let(headers, _roles).alias("roles"))
     has_amount = F.coalesce("roles.debit", "roles.credit", "roles.amount").isNotNull()
     return found.where(F.col("roles.date").isNotNull() & F.col("roles.desc").isNotNull() & has_amount)
