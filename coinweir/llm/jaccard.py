@@ -30,6 +30,7 @@ from coinweir.llm.components import components
 WORDS = 5
 PERCENT = 80
 COUNT_BITS = 25  # cells of the count table: 32 MB when read, whatever the input
+ONCE = 8  # what the count table holds for one document
 _RANGE_BITS = 16  # cells in one range of it
 _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8864B)
 
@@ -101,7 +102,10 @@ def _first_by(order: np.ndarray, tokens: np.ndarray, k: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     """Written rows of two kinds: for each document (doc_id, cls, n) without token; for each class met in a task
-    (token, cls, n, at) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set."""
+    (token, cls, n, at) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set.
+
+    Shingles whose cell no other document has keep their place in the prefix but get no row: nothing can meet them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(count_table(docs.select("text"), n))
 
     def step(batch, met={}):  # noqa: B006  classes of this task whose prefix is sent
@@ -112,7 +116,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
             met.clear()
             met[task] = set()
         counts, seen = shared.value, met[task]
-        sizes, names, rows, tokens = [], [], [], []
+        sizes, names, rows, tokens, places = [], [], [], [], []
         for text in text_bytes(batch):
             s = shingle_set(text, n)
             name = xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
@@ -123,8 +127,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 k = prefix_length(len(s), percent)
                 order = (counts[_cells(s)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
                 first = s[np.argsort(order)[:k]]
-                tokens.append(first.view(np.int64))
-                rows.append((name, len(s), len(first)))
+                place = np.flatnonzero(counts[_cells(first)] > ONCE)
+                tokens.append(first[place].view(np.int64))
+                places.append(place)
+                rows.append((name, len(s), len(place)))
         yield {"doc_id": batch.column(0), "token": pa.nulls(len(sizes), pa.int64()), "cls": names, "n": sizes, "at": pa.nulls(len(sizes), pa.int32())}
         if rows:
             per = np.array([r[2] for r in rows])
@@ -133,7 +139,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 "token": np.concatenate(tokens),
                 "cls": np.repeat(np.array([r[0] for r in rows], np.int64), per),
                 "n": np.repeat(np.array([r[1] for r in rows], np.int64), per),
-                "at": np.concatenate([np.arange(k) for k in per]),
+                "at": np.concatenate(places),
             }
 
     return written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int, at int"), "prefixes")
@@ -182,16 +188,13 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, kind: str)
     """Those pairs of documents a, b that pass orders B and C and are similar enough by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = written(sets_of(docs, ids, n, percent, kind), "sets")
-    of = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "b", "c")))
+    of = lambda x, *columns: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    prefixed = pairs.join(of("a", "b", "c"), "a").join(of("b", "b", "c"), "b")
+    near = written(prefixed.where(F.arrays_overlap("b_a", "b_b") & F.arrays_overlap("c_a", "c_b")).select("a", "b").distinct(), "near")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    joined = (
-        pairs.join(of("a"), "a")
-        .join(of("b"), "b")
-        .where(F.arrays_overlap("b_a", "b_b"))
-        .where(F.arrays_overlap("c_a", "c_b"))
-        .where(both * 100 >= (F.size("tokens_a") + F.size("tokens_b") - both) * percent)
-    )
-    return written(joined.select("a", "b"), "links")
+    whole = near.join(of("a", "tokens"), "a").join(of("b", "tokens"), "b")
+    found = whole.where(both * 100 >= (F.size("tokens_a") + F.size("tokens_b") - both) * percent)
+    return written(found.select("a", "b"), "links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
