@@ -9,61 +9,56 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinweir.llm import bpe, decontam, jaccard, langid, quality
 from coinweir.llm.common import bit_map, bit_test, cell, rows_where, table, written
 
 
-def _row_key() -> Column:
-    """64-bit key of a row's id and text, either of which may be null: equal rows have one key, others their own but for
-    collisions of the hash."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a 64-bit key of each row's id and text, either of which may be null, and the key's name, which no
+    other column has: equal rows have one key, others their own but for collisions of the hash."""
+    name = next(n for n in ("row_key", *(f"row_key_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")), name
 
 
-def _parts(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of `docs` whose key is not in `keys` for sure, and the others, with their key (row_key).
+def _parts(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of `docs` whose key is not in `keys` (row_key) for sure, and the others with their key, and its name.
 
     Texts are not shuffled for it: a bit map of fixed size tells them apart, and only the others need be joined.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(keys.select(cell(F.col("row_key")).alias("c")), "c"))
-    keyed = docs.withColumn("row_key", _row_key())
+    keyed, name = _keyed(docs)
+    marked = keyed.select("*", cell(F.col(name)))  # the last column, whatever its name
 
     def part(meant: bool):
         def run(batches):
             for batch in batches:
-                marked = bit_test(np.frombuffer(shared.value, np.uint8), batch.column(batch.num_columns - 1).to_numpy().astype(np.int64))
-                yield batch.select(batch.schema.names[:-1]).filter(pa.array(marked == meant))
+                found = bit_test(np.frombuffer(shared.value, np.uint8), batch.column(batch.num_columns - 1).to_numpy().astype(np.int64))
+                kept = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+                yield kept.filter(pa.array(found == meant))
 
-        return keyed.withColumn("_place", cell(F.col("row_key"))).mapInArrow(run, keyed.schema)
+        return marked.mapInArrow(run, keyed.schema)
 
-    return part(False).drop("row_key"), part(True)
+    return part(False).drop(name), part(True), name
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of `docs` whose key is not in `keys` (row_key)."""
     keys = written(keys.distinct(), "dropped")
-    rest, others = _parts(docs, keys)
-    return rest.unionByName(others.join(keys, "row_key", "left_anti").drop("row_key"))
+    rest, others, name = _parts(docs, keys)
+    left = others.join(keys.withColumnRenamed("row_key", name), name, "left_anti")
+    return rest.unionByName(left.select(*docs.columns))
 
 
 def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row for each of the repeated `keys`, and all other rows."""
+    """One row for each of the repeated `keys`, and all other rows. Repeats meet within a task before they are moved."""
     keys = written(keys, "repeated")
     if keys.isEmpty():
         return docs
-    rest, others = _parts(docs, keys)
-
-    def first_of_task(batches):
-        met: set[int] = set()
-        for batch in batches:
-            found = batch.column(batch.num_columns - 1).to_pylist()
-            new = [key not in met and not met.add(key) for key in found]  # others than `keys` occur once
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    others = others.mapInArrow(first_of_task, others.schema).dropDuplicates(["row_key"])
-    return rest.unionByName(others.drop("row_key"))
+    rest, others, name = _parts(docs, keys)
+    return rest.unionByName(others.dropDuplicates([name]).select(*docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +85,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so an id with two texts is two documents. A document without an id counts as
     the last of its group.
     """
-    keyed = docs.withColumn("row_key", _row_key())
+    keyed, name = _keyed(docs)
+    keyed = keyed.select(F.col(name).alias("row_key"), "doc_id", "text")
     found = jaccard.jaccard_components(keyed, id_column="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
     ids = keyed.groupBy("row_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id")).alias("id"), F.count(F.lit(1)).alias("n"))
     rows = written(ids.join(found.distinct(), "row_key"), "rows")
@@ -102,7 +98,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    keyed = docs.withColumn("row_key", _row_key())
+    keyed, name = _keyed(docs)
+    keyed = keyed.select(F.col(name).alias("row_key"), "text")
     found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_column="row_key")
     return _without(docs, found.where("n_hit > 0").select(F.col("doc_id").alias("row_key")))
 

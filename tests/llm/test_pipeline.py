@@ -102,3 +102,25 @@ def test_rows_without_or_with_repeated_ids(spark):
     model = quality.fit(raw, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     good = {r.doc_id for r in quality.score(numbered, model).where("predicted = 1").collect()}
     assert _rows(corpus_pipeline.quality_stage(spark, docs, FOLDER)) == Counter((base + extra)[i] for i in good)
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Columns named like those that the stages use stay as they are; empty tables go through."""
+    raw = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    text = "a long clean text about nothing in particular that is kept by every stage of this test"
+    rows = [(i, text if i < 3 else f"{text} number {i} of many others like {i * i}", "k", 1, "z", "p", "c") for i in range(8)]
+    rows += [rows[0]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, _place int, component_id string, n_hit string, cls string")
+    bench = decontam.decontaminate(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).where("n_hit > 0").count()
+    assert bench == 0
+    for stage in (corpus_pipeline.duplicate_stage, corpus_pipeline.decontamination_stage):
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        got = Counter(tuple(r) for r in kept.collect())
+        assert set(got) <= {tuple(r) for r in rows}
+        assert len(got) > 1
+        if stage is corpus_pipeline.duplicate_stage:
+            assert {(r[0], r[1]): n for r, n in got.items()} == dict(_plain_duplicates([(r[0], r[1]) for r in rows]))
+    none = raw.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, FOLDER).count() == 0
