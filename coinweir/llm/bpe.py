@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import CHUNK, groups, in_batches, text_bytes, unknown
+from coinweir.llm.common import CHUNK, groups, in_batches, remembered, text_bytes, unknown
 
 CACHE_LIMIT = 900_000  # chunks whose ids a worker remembers
 
@@ -123,7 +123,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [CHUNK.findall(t) for t in texts]
-        if len(self.known) > CACHE_LIMIT:
+        if len(remembered(self.known)) > CACHE_LIMIT:
             self.known.clear()
         self.learn(unknown(cut, self.known))
         get = self.known.__getitem__

@@ -92,8 +92,24 @@ def rows_where(df: DataFrame, wanted: Callable[[list[bytes | None]], np.ndarray]
     return df.mapInArrow(run, df.schema)
 
 
+_CACHES: dict[int, dict] = {}  # what this Python worker remembers, and which of it the task at hand has used
+_USED: set[int] = set()
+
+
+def remembered(cache: dict) -> dict:
+    """Marks a worker's cache as used by the task at hand. At the end of a task that did not use it, it is emptied: a
+    worker goes on to other operators' tasks, which need the memory."""
+    _CACHES[id(cache)] = cache
+    _USED.add(id(cache))
+    return cache
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker stays for later tasks, beside its executor's JVM."""
+    for key, cache in _CACHES.items():
+        if key not in _USED:
+            cache.clear()
+    _USED.clear()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it

@@ -318,3 +318,16 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages.where("page_id >= 300"), rules).collect()} == {"allow"}
 
 
+
+
+def test_workers_forget_caches_that_a_task_does_not_use():
+    from coinweir.llm import common
+
+    one, two = {1: 1}, {2: 2}
+    common.remembered(one)
+    common.remembered(two)
+    common.release()
+    assert one and two
+    common.remembered(two)
+    common.release()
+    assert not one and two
