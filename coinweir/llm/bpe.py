@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from coinweir.llm.common import CHUNK, groups, in_batches, remembered, text_bytes, unknown
 
-CACHE_LIMIT = 900_000  # chunks whose ids a worker remembers
+CACHE_LIMIT = 250_000  # chunks whose ids a worker remembers
+BLOCK_BYTES = 1 << 20  # text whose new chunks are replayed together
 
 
 def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -148,7 +149,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "do
     def step(batch):
         raw = [b or b"" for b in text_bytes(batch)]
         model = vocabulary(path, pattern)
-        for a, b in groups([len(t) for t in raw]):
+        for a, b in groups([len(t) for t in raw], BLOCK_BYTES):
             ids = model.encode([t.decode("utf-8", "replace") for t in raw[a:b]])
             yield {"doc_id": batch.column(0).slice(a, b - a), "ids": ids, "decoded": [model.decode(i) for i in ids]}
 
