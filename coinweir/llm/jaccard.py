@@ -24,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import WORD_HASHES, bit_map, bit_test, cell, groups, in_batches, mix, shingle_hashes, small_batches, text_bytes, written
+from coinweir.llm.common import WORD_HASHES, bit_map, bit_test, cell, groups, in_batches, mix, release, shingle_hashes, small_batches, text_bytes, written
 from coinweir.llm.components import components
 
 WORDS = 5
 PERCENT = 80
 COUNT_BITS = 25  # cells of the count table: 32 MB when read, whatever the input
-ONCE = 8  # what the count table holds for one document
 _RANGE_BITS = 16  # cells in one range of it
 _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8864B)
 
@@ -87,6 +86,8 @@ def count_table(docs: DataFrame, n: int) -> np.ndarray:
     table = np.zeros(1 << COUNT_BITS, np.uint8)
     for key, steps in zip(found.column("range").to_pylist(), found.column("steps"), strict=True):
         table[key << _RANGE_BITS : (key + 1) << _RANGE_BITS] = np.frombuffer(steps.as_buffer(), np.uint8)
+    del found
+    release()
     return table
 
 
@@ -102,10 +103,7 @@ def _first_by(order: np.ndarray, tokens: np.ndarray, k: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
     """Written rows of two kinds: for each document (doc_id, cls, n) without token; for each class met in a task
-    (token, cls, n, at) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set.
-
-    Shingles whose cell no other document has keep their place in the prefix but get no row: nothing can meet them.
-    """
+    (token, cls, n, at) of its prefix under order A. cls is a 64-bit fingerprint; with n it names a set."""
     shared = docs.sparkSession.sparkContext.broadcast(count_table(docs.select("text"), n))
 
     def step(batch, met={}):  # noqa: B006  classes of this task whose prefix is sent
@@ -116,7 +114,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
             met.clear()
             met[task] = set()
         counts, seen = shared.value, met[task]
-        sizes, names, rows, tokens, places = [], [], [], [], []
+        sizes, names, rows, tokens = [], [], [], []
         for text in text_bytes(batch):
             s = shingle_set(text, n)
             name = xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
@@ -127,10 +125,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 k = prefix_length(len(s), percent)
                 order = (counts[_cells(s)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
                 first = s[np.argsort(order)[:k]]
-                place = np.flatnonzero(counts[_cells(first)] > ONCE)
-                tokens.append(first[place].view(np.int64))
-                places.append(place)
-                rows.append((name, len(s), len(place)))
+                tokens.append(first.view(np.int64))
+                rows.append((name, len(s), len(first)))
         yield {"doc_id": batch.column(0), "token": pa.nulls(len(sizes), pa.int64()), "cls": names, "n": sizes, "at": pa.nulls(len(sizes), pa.int32())}
         if rows:
             per = np.array([r[2] for r in rows])
@@ -139,7 +135,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 "token": np.concatenate(tokens),
                 "cls": np.repeat(np.array([r[0] for r in rows], np.int64), per),
                 "n": np.repeat(np.array([r[1] for r in rows], np.int64), per),
-                "at": np.concatenate(places),
+                "at": np.concatenate([np.arange(k) for k in per]),
             }
 
     return written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int, at int"), "prefixes")
