@@ -21,9 +21,9 @@ GROUP_BYTES = 4 << 20  # text handled at once inside a task; a longer document i
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Pieces of a text at whose ends every match of the byte-level pattern ends too: it never joins text with white
 # space behind it, nor letters with one of these marks behind them.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 CHUNK = re.compile(
-    f" ?[{_LETTERS}]+(?=[ ,.!?;:])|[{SPACE}]*(?:[{_LETTERS}]+(?=[,.!?;:])|[^{SPACE}]+)|[{SPACE}]+"
+    f" ?[{LETTERS}]+(?=[ ,.!?;:])|[{SPACE}]*(?:[{LETTERS}]+(?=[,.!?;:])|[^{SPACE}]+)|[{SPACE}]+"
 )
 BATCH_ROWS = 1_000  # rows handed to a step at once
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"

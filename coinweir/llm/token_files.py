@@ -7,6 +7,8 @@ document order, so a reader takes stripes in parallel and skips those that canno
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -17,12 +19,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coinweir.llm.common import CHUNK, groups, in_batches, text_bytes, unknown
+from coinweir.llm.common import CHUNK, LETTERS, SPACE, groups, in_batches, text_bytes
 
 CACHE_LIMIT = 900_000  # chunks whose ids a worker remembers
 JOINED = 200  # chunks that the library gets as one text
 STRIPE_BYTES = 16 << 20
 ROWS_PER_INDEX = 5_000
+# a mark that does not stand behind a letter or digit, white space but for single spaces and line feeds, or a zero
+_UNEVEN_MARK = re.compile(f"[,.!?;:](?<![0-9{LETTERS}].)")
+_UNEVEN_SPACE = re.compile("[" + SPACE.replace(r"\t-\r ", r"\t\x0b-\r") + "\0]")
+
+
+class Numbers(dict):
+    """A number for each chunk, in the order in which they are met; `new` holds those whose ids are not known yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        number = self[chunk] = len(self)
+        return number
 
 
 class ChunkEncoder:
@@ -30,7 +48,7 @@ class ChunkEncoder:
 
     The byte-level pattern never joins text with white space behind it, so the ids of a text are those of its
     chunks (white space and what follows it), one after the other. A text with the string of a special token
-    goes to the library whole.
+    goes to the library whole, and so does every text if the file is of another kind.
     """
 
     def __init__(self, path: str):
@@ -41,46 +59,100 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = cuts_at_space(json.loads(self.tokenizer.to_str()))
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, number in vocab.items():
             self.width[number] = len(token)  # a byte-level token has one letter for each byte
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.ids = np.zeros(1 << 16, "<u4")  # of all numbered chunks, one behind the other
+        self.starts = np.zeros(1 << 14, np.int64)  # place of each one's first id, and at `learned` the end of the last
+        self.learned = 0
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks, many in a text, and cut the ids where their chunks end.
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Many go to the library in one text, whose ids are cut where the chunks end.
 
         Only chunks that begin with a space and end in text are put together: there every match ends where its
         chunk ends. Chunks with marks of special tokens go in alone, as joined they could make one.
         """
-        alone = [c for c in chunks if c.isspace() or "<" in c or ">" in c or "|" in c]
-        self.known.update(zip(alone, self.library(alone), strict=True))
-        rest = [c for c in chunks if c not in self.known]
-        rest.sort(key=lambda c: c[0] == " ")
-        first = next((k for k, c in enumerate(rest) if c[0] == " "), len(rest))
-        self.known.update(zip(rest[:first], self.library(rest[:first]), strict=True))
-        rest = rest[first:]
+        joins = [c[0] == " " and not (c.isspace() or "<" in c or ">" in c or "|" in c) for c in chunks]
+        alone = iter(self.library([c for c, j in zip(chunks, joins, strict=True) if not j]))
+        rest = [c for c, j in zip(chunks, joins, strict=True) if j]
         parts = [rest[k : k + JOINED] for k in range(0, len(rest), JOINED)]
+        cut: list[bytes] = []
         for part, raw in zip(parts, self.library(["".join(p) for p in parts]), strict=True):
             ends = np.searchsorted(np.cumsum(self.width[np.frombuffer(raw, "<u4")]), np.cumsum([len(c.encode()) for c in part])) + 1
-            start = 0
-            for chunk, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.known[chunk] = raw[start:end]
-                start = end
+            ends = (ends * 4).tolist()
+            cut += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        joined = iter(cut)
+        return [next(joined) if j else next(alone) for j in joins]
+
+    def learn(self) -> None:
+        """Take up the ids of the new chunks."""
+        found = self.ids_of(self.numbers.new)
+        self.numbers.new.clear()
+        flat = np.frombuffer(b"".join(found), "<u4")
+        ends = self.starts[self.learned] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        self.ids = _room(self.ids, int(self.starts[self.learned]), len(flat))
+        self.ids[self.starts[self.learned] : self.starts[self.learned] + len(flat)] = flat
+        self.starts = _room(self.starts, self.learned + 1, len(ends))
+        self.starts[self.learned + 1 : self.learned + 1 + len(ends)] = ends
+        self.learned += len(ends)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.specials) for t in texts]
-        cut = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.known) > CACHE_LIMIT:
-            self.known.clear()
-        self.learn(unknown(cut, self.known))
-        get = self.known.__getitem__
-        return [
-            self.library([t])[0] if w else b"".join(map(get, chunks)) for t, w, chunks in zip(texts, whole, cut, strict=True)
-        ]
+        whole = [not self.cuts or any(s in t for s in self.specials) for t in texts]
+        if len(self.numbers) > CACHE_LIMIT:
+            self.forget()
+        number, numbered = self.numbers.__getitem__, []
+        for text, w in zip(texts, whole, strict=True):
+            chunks = [] if w else chunks_of(text)
+            numbered.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if self.numbers.new:
+            self.learn()
+        return [self.library([t])[0] if w else self.joined(n) for t, w, n in zip(texts, whole, numbered, strict=True)]
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        """Ids of these chunks, one behind the other."""
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(starts - before, sizes) + np.arange(sizes.sum())].tobytes()
+
+
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    """`values` with place for `more` behind the `used` ones."""
+    if used + more <= len(values):
+        return values
+    wider = np.zeros(max(used + more, len(values) * 3 // 2), values.dtype)
+    wider[:used] = values[:used]
+    return wider
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a tokenizers file is of the kind whose texts may be encoded chunk by chunk: byte-level pairs with the
+    usual pattern, nothing normalised or put in front, no marks in words, nothing left to chance."""
+    model, pieces = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    byte_level = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space")
+    return bool(model["type"] == "BPE" and plain and byte_level and spec["normalizer"] is None)
+
+
+def chunks_of(text: str) -> list[str]:
+    """Chunks of a text; joined they are the text. CHUNK cuts any text; an even one is cut in the same sense by
+    str.split: ahead of each space and line feed, and of each mark, which there has a letter or digit before it."""
+    doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    if doubled or _UNEVEN_MARK.search(text) or _UNEVEN_SPACE.search(text):
+        return CHUNK.findall(text)
+    for mark in " \n,.!?;:":
+        text = text.replace(mark, "\0" + mark)
+    chunks = text.split("\0")
+    return chunks if chunks[0] else chunks[1:]
 
 
 @lru_cache(2)

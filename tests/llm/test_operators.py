@@ -94,6 +94,23 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.with_checksums(token_files.read_token_files(spark, other)).count() == 0
 
 
+def test_chunks_of_texts_as_the_library():
+    path = P.path("byte_bpe_50k.json")
+    model, other = token_files.ChunkEncoder(path), token_files.ChunkEncoder(path)
+    rng = random.Random(5)
+    marks = ["a", "the", " ", ".", ",", "\n", "é5", "x.", "&", " b", "'s ", "\0", "\u0301", "\x85", "  ", "<|endoftext|>"]
+    texts = ["".join(rng.choices(marks[: rng.randrange(4, len(marks))], k=rng.randrange(40))) for _ in range(3000)]
+    assert all("".join(token_files.chunks_of(t)) == t for t in texts)
+    wanted = model.library(texts)
+    assert [i for k in range(0, 3000, 500) for i in model.encode(texts[k : k + 500])] == wanted
+    other.cuts = False  # a file of another kind: whole texts
+    assert other.encode(texts) == wanted
+    spec = {"model": {"type": "BPE"}, "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    assert token_files.cuts_at_space(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "BPE", "dropout": 0.1}}):
+        assert not token_files.cuts_at_space(spec | change)
+
+
 def _shingles(text, n):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
