@@ -23,13 +23,14 @@ QUERY_ROWS = 2_048
 TILE_ROWS = 256  # queries multiplied at once: 256 x 8192 scores
 HIGH_COSINE = 0.8  # from this local threshold on candidates are chosen by coordinates
 FOCUS = 3  # coordinates looked at
-LARGEST = 1 << 31  # scaled components must stay below it, so that scores fit 64 bits
+_LONG = (1 << 63) - 1
 
 
 def quantise(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id, dim, norm and packed 32-bit integers floor(SCALE * x) of the usable vectors.
+    """vec_id, dim, norm and packed integers floor(SCALE * x) of the usable vectors: in 32 bits each, or as doubles, which
+    hold them exactly, if one of the vector's does not fit.
 
-    Vectors null, or holding null, non-finite or larger components than LARGEST / SCALE, are left out.
+    Vectors null, or holding null or non-finite components, are left out.
     """
 
     def step(batch):
@@ -38,19 +39,44 @@ def quantise(df: DataFrame, id_column: str = "vec_id", vector_column: str = "emb
             values = vector.values
             if not vector.is_valid or key is None or values.null_count:
                 continue
-            x = np.floor(SCALE * values.to_numpy(zero_copy_only=False).astype(np.float64))
-            if not np.isfinite(x).all() or (np.abs(x) >= LARGEST).any():
+            x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+            if not np.isfinite(x).all():
                 continue
+            with np.errstate(over="ignore"):
+                x = np.nan_to_num(np.floor(SCALE * x))  # beyond all doubles: the largest
+                made["norm"].append(float(np.sqrt((x * x).sum())))
             made["vec_id"].append(key)
             made["dim"].append(len(x))
-            made["norm"].append(float(np.sqrt((x * x).sum())))
-            made["packed"].append(x.astype("<i4").tobytes())
+            made["packed"].append(x.astype("<f8" if (np.abs(x) >= 1 << 31).any() else "<i4").tobytes())
         yield made
 
     chosen = df.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).alias("v"))
     return in_batches(chosen, step, "vec_id bigint, dim int, norm double, packed binary")
 
 
+def _same_width(packed: list[bytes], dim: int) -> bytes:
+    """Vectors of a block one behind the other: in 32 bits a component if all are so, else as doubles."""
+    if all(len(p) == 4 * dim for p in packed):
+        return b"".join(packed)
+    return b"".join(_components(p, dim).tobytes() for p in packed)
+
+
+def _components(packed: bytes, places: int) -> np.ndarray:
+    return np.frombuffer(packed, "<i4" if len(packed) == 4 * places else "<f8").astype(np.float64)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows; those beyond 64 bits become the nearest long."""
+    bound = float(a.shape[1]) * max(1.0, float(np.abs(a).max(initial=0))) * max(1.0, float(np.abs(b).max(initial=0)))
+    if bound < 1 << 53:
+        return a @ b.T
+    if bound < 1 << 62:
+        return a.astype(np.int64) @ b.T.astype(np.int64)
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+    found = whole(a) @ whole(b).T
+    return np.array([[min(max(int(v), -_LONG), _LONG) for v in row] for row in found], np.int64).reshape(len(a), len(b))
+
+
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """Neighbours in order of falling norm, packed: one row for each block and dimension."""
 
@@ -66,7 +92,7 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
                 "longest": pa.array([float(norms.max())]),
                 "ids": [table.column("vec_id").to_numpy()[order].astype("<i8").tobytes()],
                 "norms": [norms[order].tobytes()],
-                "packed": [b"".join(packed[i] for i in order)],
+                "packed": [_same_width([packed[i] for i in order], key[1].as_py())],
             }
         )
 
@@ -99,12 +125,10 @@ def _candidates(q: np.ndarray, length: float, theta: float, unit: np.ndarray, no
 def search_bucket(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best k (query, candidate, score) of one block of queries in one bucket, thresholds respected."""
     dim = row["dim"]
-    q, c = (np.frombuffer(row[x], "<i4").reshape(-1, dim).astype(np.float64) for x in ("q_packed", "packed"))
     q_ids, c_ids = (np.frombuffer(row[x], "<i8") for x in ("q_ids", "ids"))
+    q, c = (_components(row[x], n * dim).reshape(n, dim) for x, n in (("q_packed", len(q_ids)), ("packed", len(c_ids))))
     q_norms, norms = (np.frombuffer(row[x], np.float64) for x in ("q_norms", "norms"))
     theta = np.frombuffer(row["thetas"], np.float64) if row["thetas"] is not None else np.full(len(q), -np.inf)
-    exact = dim * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(c).max(initial=0)) < 2**53
-    multiply = (lambda a, b: a @ b.T) if exact else (lambda a, b: (a.astype(np.int64) @ b.T.astype(np.int64)))
     unit = c / np.maximum(norms, 1e-300)[:, None]
     repeated = len(np.unique(c_ids)) < len(c_ids)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -127,14 +151,14 @@ def search_bucket(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         high = q_norms[i] > 0 and norms[0] > 0 and theta[i] > 0 and theta[i] / (q_norms[i] * norms[0]) >= HIGH_COSINE
         if high:
             rows = _candidates(q[i], q_norms[i], theta[i] * (1 - 1e-9), unit, norms)
-            best(multiply(q[i : i + 1], c[rows]), [i], c_ids[rows])
+            best(_products(q[i : i + 1], c[rows]), [i], c_ids[rows])
         else:
             wide.append(i)
     for a in range(0, len(wide), TILE_ROWS):
         tile = np.array(wide[a : a + TILE_ROWS])
         need = [theta[i] / q_norms[i] * (1 - 1e-9) if q_norms[i] > 0 and theta[i] > 0 else 0.0 for i in tile]
         enough = int(np.searchsorted(-norms, -min(need), side="right"))  # length bound of the easiest query
-        best(multiply(q[tile], c[:enough]), tile, c_ids[:enough])
+        best(_products(q[tile], c[:enough]), tile, c_ids[:enough])
     if not found:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -160,7 +184,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(
     df: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector_column: str = "embedding", bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k largest integer inner products of each query row.
+    """query_id, rank (from 1), vec_id, score: the k largest integer inner products of each query row. A product beyond
+    64 bits counts as the nearest long.
 
     Candidates are all usable rows (see `quantise`) of the query's dimension but those with its id; ties go to the
     smaller id. Rows that repeat an id and score count once; a null id takes no part; a query without candidates
@@ -200,7 +225,7 @@ def top_k(
     def attach(batch):
         made = {c: batch.column(c) for c in ("q_block", "dim", "q_ids", "q_norms", "q_packed")} | {"thetas": [], "need": []}
         for limit, norms in zip(batch.column("limits").to_pylist(), batch.column("q_norms").to_pylist(), strict=True):
-            theta = np.array([-np.inf if x["theta"] is None else x["theta"] for x in limit])
+            theta = np.array([-np.inf if x["theta"] is None else x["theta"] for x in limit], np.float64)
             norm = np.frombuffer(norms, np.float64)
             made["thetas"].append(theta.tobytes())
             positive = (theta > 0).all() and (norm > 0).all() and len(theta) > 0
