@@ -8,16 +8,21 @@ read it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from coinweir.llm.common import in_batches, may_be_among_first, release, text_bytes, written
+from coinweir.llm.common import BATCH_ROWS, in_batches, may_be_among_first, release, text_bytes, written
 
 SAMPLE_ROWS = 1_500  # labelled rows of each language that the model is fitted on
-MAX_LANGUAGES = 400  # the most frequent ones
+AT_ONCE = 400  # languages whose centroids a task or the driver holds; more are gone through in blocks
+_SUM_PARTS = 64
 CENTROIDS = 3
 DIMENSIONS = 1 << 12
 ROUNDS = 12
@@ -87,6 +92,27 @@ class CentroidModel:
         return self.limits[best, low] * (low + 1 - at) + self.limits[best, low + 1] * (at - low)
 
 
+@dataclass
+class LanguageModel:
+    """Centroids of every learned language, in a written table that is read block by block."""
+
+    fitted: DataFrame  # lang, sums
+    idf: np.ndarray
+    limits: dict[str, np.ndarray]
+    blocks: list[tuple[str, str]]  # first and last language of each, in the order of their names
+
+    def block(self, number: int) -> CentroidModel:
+        languages, sums = _centroids(self.fitted, self.blocks[number])
+        return CentroidModel(languages, self.idf, _unit(sums), np.array([self.limits[x] for x in languages]))
+
+
+def _centroids(fitted: DataFrame, block: tuple[str, str]) -> tuple[list[str], np.ndarray]:
+    """Language and sum of each cluster of a block, CENTROIDS x AT_ONCE at most."""
+    found = fitted.where(F.col("lang").between(*block)).select("lang", "sums").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["lang"], r["sums"]))
+    return [r["lang"] for r in found], np.array([np.frombuffer(r["sums"], "<f4") for r in found], np.float64)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -187,18 +213,19 @@ def fit(
     lang_column: str = "lang",
     centroids: int = CENTROIDS,
     rows: int = SAMPLE_ROWS,
-) -> CentroidModel | None:
-    """Fit on at most `rows` rows of each of the MAX_LANGUAGES most frequent languages, chosen by a hash of the id.
+    at_once: int = AT_ONCE,
+) -> LanguageModel | None:
+    """Fit on at most `rows` rows of each language, chosen by a hash of the id.
 
     Rows with a null language or text, or without a letter, teach nothing; without any other rows there is no model.
+    The driver gets names and limits of all languages, and centroids of `at_once` of them at a time.
     """
     kept = labelled.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    common = kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     chosen = (
         kept.select("doc_id", "lang")
-        .join(F.broadcast(common), "lang")  # MAX_LANGUAGES rows at most
+        .join(F.broadcast(kept.groupBy("lang").count()), "lang")  # a name and a number for each language
         .where(may_be_among_first(F.col("doc_id"), rows, F.col("count")))
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
         .where(F.col("place") <= rows)
@@ -214,8 +241,9 @@ def fit(
         if made["lang"]:
             yield made
 
-    ids = written(chosen.select("doc_id", "lang").distinct(), "ids")  # rows x languages at most
-    texts = kept.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    ids = written(chosen.select("doc_id", "lang").distinct(), "ids")
+    few = ids.select("lang").distinct().count() <= AT_ONCE  # then there are AT_ONCE x rows ids at most
+    texts = kept.join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).select("lang", "text")
     sample = written(in_batches(texts, step, "lang string, size bigint, counts binary"), "sample")
 
     def presence(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -224,8 +252,13 @@ def fit(
             found += np.frombuffer(counts.as_buffer(), "<u2") > 0
         return pa.table({"n": [table.num_rows], "present": [found.tobytes()]})
 
-    # one row for each language, of which there are MAX_LANGUAGES at most
-    found = sample.groupBy("lang").applyInArrow(presence, "n bigint, present binary").toArrow().to_pylist()
+    def added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        present = sum(np.frombuffer(raw.as_buffer(), "<i8") for raw in table.column("present"))
+        return pa.table({"n": [sum(table.column("n").to_pylist())], "present": [present.tobytes()]})
+
+    counted = sample.groupBy("lang").applyInArrow(presence, "n bigint, present binary")
+    parts = counted.groupBy(F.pmod(F.xxhash64("present"), F.lit(_SUM_PARTS))).applyInArrow(added, "n bigint, present binary")
+    found = parts.toArrow().to_pylist()  # _SUM_PARTS rows at most
     if not found:
         return None
     total = sum(r["n"] for r in found)
@@ -253,42 +286,93 @@ def fit(
 
     schema = "lang string, sums binary, joined struct<band:array<int>,cosine:array<double>>"
     fitted = written(sample.groupBy("lang").applyInArrow(cluster, schema), "centroids")
-    found = fitted.select("lang", "sums").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["lang"], r["sums"]))
-    languages = [r["lang"] for r in found]
-    sums = np.array([np.frombuffer(r["sums"], "<f4") for r in found], np.float64)
-    places: dict[str, list[int]] = {}
-    for i, lang in enumerate(languages):
-        places.setdefault(lang, []).append(i)
-    shared = labelled.sparkSession.sparkContext.broadcast((sums, places, idf))
-
-    def window(batch):
-        sums, places, idf = shared.value
-        made = {"lang": [], "band": [], "cosine": []}
-        for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
-            pieces = _windows(text)
-            if not pieces:
-                continue
-            whole = _vectors(counts_of(text)[None], idf)[0]
-            held = sums[places[lang]]
-            held[(_unit(held) @ whole).argmax()] -= whole
-            cosines = _held_out(_vectors(np.array([counts_of(w) for w in pieces.values()]), idf), held)
-            if len(cosines):
-                made["lang"].extend([lang] * len(pieces))
-                made["band"].extend(pieces)
-                made["cosine"].extend(cosines.tolist())
-        if made["lang"]:
-            yield made
+    names = sorted(r["lang"] for r in fitted.select("lang").distinct().toArrow().to_pylist())
+    blocks = [(names[k], names[min(k + at_once, len(names)) - 1]) for k in range(0, len(names), at_once)]
+
+    def windows(block):
+        languages, sums = _centroids(fitted, block)
+        places: dict[str, list[int]] = {}
+        for i, lang in enumerate(languages):
+            places.setdefault(lang, []).append(i)
+        shared = labelled.sparkSession.sparkContext.broadcast((sums, places, idf))
+
+        def window(batch):
+            sums, places, idf = shared.value
+            made = {"lang": [], "band": [], "cosine": []}
+            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+                pieces = _windows(text)
+                if not pieces:
+                    continue
+                whole = _vectors(counts_of(text)[None], idf)[0]
+                held = sums[places[lang]]
+                held[(_unit(held) @ whole).argmax()] -= whole
+                cosines = _held_out(_vectors(np.array([counts_of(w) for w in pieces.values()]), idf), held)
+                if len(cosines):
+                    made["lang"].extend([lang] * len(pieces))
+                    made["band"].extend(pieces)
+                    made["cosine"].extend(cosines.tolist())
+            if made["lang"]:
+                yield made
+
+        found = in_batches(texts.where(F.col("lang").between(*block)), window, "lang string, band int, cosine double")
+        return found if len(blocks) == 1 else written(found, "cosines")
 
     joined = fitted.select("lang", F.explode(F.arrays_zip("joined.band", "joined.cosine")).alias("j")).select("lang", "j.band", "j.cosine")
-    cosines = in_batches(texts, window, "lang string, band int, cosine double").unionByName(joined)
+    cosines = reduce(DataFrame.unionByName, map(windows, blocks), joined)
     quantiles = cosines.groupBy("lang", "band").agg(F.percentile("cosine", F.lit(0.5)).alias("middle"), F.percentile("cosine", F.lit(REJECT_LOW)).alias("low"))
-    # one row for each language and band
-    limits = _limits(languages, {(r["lang"], r["band"]): (r["middle"], r["low"]) for r in quantiles.toArrow().to_pylist()})
-    return CentroidModel(languages, idf, _unit(sums), limits)
+    # one row of numbers for each language and band
+    limits = _limits(names, {(r["lang"], r["band"]): (r["middle"], r["low"]) for r in quantiles.toArrow().to_pylist()})
+    return LanguageModel(fitted, idf, dict(zip(names, limits, strict=True)), blocks)
+
+
+def _judged(batch: pa.RecordBatch, model: CentroidModel | None, earlier: bool) -> pa.StructArray:
+    """What `model` finds for each text, or what the blocks before it found (last column) if that is as near."""
+    raw = text_bytes(batch)
+    found = model.judge(raw) if model is not None else ([UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw))
+    if earlier:
+        rows = zip(batch.column(batch.num_columns - 1).to_pylist(), *found, strict=True)
+        rows = [(x["lang_pred"], x["score"], x["rejected"]) if x["score"] >= score else (lang, score, no) for x, lang, score, no in rows]
+        found = tuple(zip(*rows, strict=True)) if rows else ([], [], [])
+    return pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang_pred", "score", "rejected"])
+
+
+def _with_earlier(docs: DataFrame, model: LanguageModel | None) -> tuple[DataFrame, Broadcast, bool]:
+    """`docs` with what all blocks but the last find, in a last column if there are several; the last block."""
+    context, number, schema = docs.sparkSession.sparkContext, 0, docs.schema
+    name = next(n for n in (f"found_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    schema = StructType([*schema.fields, StructField(name, StructType.fromDDL("lang_pred string, score double, rejected boolean"))])
+    for number in range(len(model.blocks) - 1) if model is not None else ():
+        docs = written(_pass(docs, context.broadcast(model.block(number)), schema, number), "languages")
+    several = model is not None and len(model.blocks) > 1
+    return docs, context.broadcast(model.block(len(model.blocks) - 1) if model is not None else None), several
+
+
+def _pass(docs: DataFrame, shared: Broadcast, schema: StructType, number: int) -> DataFrame:
+    def run(batches):
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
+            found = _judged(batch, shared.value, number > 0)
+            yield pa.RecordBatch.from_arrays([*(batch.columns[:-1] if number else batch.columns), found], names=schema.names)
+        release()
+
+    return docs.mapInArrow(run, schema)
+
 
+def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of `docs`, whole, whose text (column text) is not rejected."""
+    names = docs.columns
+    rows, shared, several = _with_earlier(docs, model)
 
-def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def run(batches):
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
+            kept = pc.invert(_judged(batch, shared.value, several).field("rejected"))
+            columns = batch.columns[:-1] if several else batch.columns
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
+        release()
+
+    return rows.mapInArrow(run, docs.schema)
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected (the cosine is under
     the limit of the language for a text of its bytes) of every row.
 
@@ -296,16 +380,11 @@ def identify(docs: DataFrame, model: CentroidModel | None, id_column: str = "doc
     Ties go to the language that sorts first; repeated rows are scored one by one; a null id stays null; other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x MAX_LANGUAGES rows at most
     kind = docs.schema[id_column].dataType.simpleString()
+    rows, shared, several = _with_earlier(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), model)
 
     def step(batch):
-        raw, m = text_bytes(batch), shared.value
-        langs, scores, refused = m.judge(raw) if m is not None else ([UNDETERMINED] * len(raw), np.zeros(len(raw)), [True] * len(raw))
-        yield {"doc_id": batch.column(0), "lang_pred": langs, "score": scores, "rejected": refused}
-
-    return in_batches(
-        docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")),
-        step,
-        f"doc_id {kind}, lang_pred string, score double, rejected boolean",
-    )
+        found = _judged(batch, shared.value, several)
+        yield {"doc_id": batch.column(0)} | {c: found.field(c) for c in ("lang_pred", "score", "rejected")}
+
+    return in_batches(rows, step, f"doc_id {kind}, lang_pred string, score double, rejected boolean")

@@ -66,8 +66,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(table(spark, sf_dir, "documents"))
     if model is None:
         return docs.limit(0)
-    shared = spark.sparkContext.broadcast(model)
-    return rows_where(docs, lambda raw: ~np.array(shared.value.judge(raw)[2], bool))
+    return langid.without_rejected(docs, model)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -233,6 +234,36 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
 
 
+def test_top_k_of_negative_scores(spark):
+    """The first threshold of a query may be negative: the longest vectors are the worst for it."""
+    rng = np.random.default_rng(3)
+    vectors = [*(-10 * rng.random((40, 4)) - 1).tolist(), *(rng.random((160, 4)) - 0.1).tolist()]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    x = np.floor(64 * np.array(vectors)).astype(int)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") >= 40, 5, bucket_rows=32).collect()}
+    want = {}
+    for q in range(40, 200):
+        found = sorted((-int(x[q] @ x[c]), c) for c in range(200) if c != q)[:5]
+        want |= {(q, r): (c, -s) for r, (s, c) in enumerate(found, 1)}
+    assert got == want
+
+
+def test_top_k_of_large_components(spark):
+    """Scores of any size: exact in 64 bits, the nearest long beyond."""
+    rng, limit = random.Random(6), (1 << 63) - 1
+    vectors = [[rng.choice([0.5, -3.0, 1e3, 4e7, -1e8, 2.0**40]) * rng.random() for _ in range(3)] for _ in range(120)]
+    vectors[:4] = [[1.7e308, 1.0, 0.0], [-1.7e308, 2.0, 1.0], [2.0**40, 0.0, 0.0], [0.0, 0.0, 3.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    largest = int(np.finfo(np.float64).max)
+    ok = [[min(max(math.floor(64 * Fraction(x)), -largest), largest) if abs(x) > 1e300 else math.floor(64 * x) for x in v] for v in vectors]
+    for size in (16, 8192):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 9, bucket_rows=size).collect()}
+        for q in range(0, 120, 20):
+            scores = [(-min(max(sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), -limit), limit), c) for c in range(120) if c != q]
+            for r, (s, c) in enumerate(sorted(scores)[:9], 1):
+                assert got[q, r] == (c, -s)
+
+
 def test_languages(spark, docs, empty):
     rng = random.Random(1)
     own = {"aa": "bada goda ladi mora".split(), "bb": "zuxi quty xenu wiju".split()}
@@ -242,7 +273,15 @@ def test_languages(spark, docs, empty):
     assert all(got[i].lang_pred == k and not got[i].rejected and 0 <= got[i].score <= 1 for i, _, k in rows)
     for r in langid.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or "")))
-    assert langid.identify(empty, model).count() == 0
+    # languages in blocks of one give the same
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, single = langid.fit(labelled), langid.fit(labelled, at_once=1)
+    assert (len(whole.blocks), len(single.blocks)) == (1, 2)
+    assert langid.identify(docs, single).orderBy("doc_id").collect() == langid.identify(docs, whole).orderBy("doc_id").collect()
+    mixed = docs.unionByName(labelled.select(F.col("doc_id") + 1000, "text", F.lit(0.5), F.lit("x"), F.lit(1)).toDF(*docs.columns))
+    assert sorted(map(str, langid.without_rejected(mixed, single).collect())) == sorted(map(str, langid.without_rejected(mixed, whole).collect()))
+    assert langid.without_rejected(mixed, single).count() >= 120
+    assert langid.identify(empty, single).count() == langid.identify(empty, model).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty.withColumn("lang", F.lit("aa")))).collect()} == {"und"}
 
 
