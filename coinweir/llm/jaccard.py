@@ -138,7 +138,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
                 "at": np.concatenate([np.arange(k) for k in per]),
             }
 
-    return written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int, at int"), "prefixes")
+    made = written(in_batches(docs, step, f"doc_id {kind}, token bigint, cls bigint, n int, at int"), "prefixes")
+    shared.destroy()  # what is written needs it no more
+    return made
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
