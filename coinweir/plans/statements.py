@@ -340,11 +340,18 @@ def header_name(cell: Column) -> Column:
 
 
 def table_roles(tables: DataFrame) -> DataFrame:
-    """Column roles of every table, from its header row; one row per usable table."""
-    headers = F.transform("cells", header_name)
-    found = tables.where(F.col("row_no") == 0).select(*PAGE, "table_no", let(headers, _roles).alias("roles"))
-    has_amount = F.coalesce("roles.debit", "roles.credit", "roles.amount").isNotNull()
-    return found.where(F.col("roles.date").isNotNull() & F.col("roles.desc").isNotNull() & has_amount)
+    """Column roles of every table, from its header row; one row per usable table.
+
+    Each distinct header is read once, however many tables have it.
+    """
+    heads = tables.where(F.col("row_no") == 0).select(*PAGE, "table_no", "cells")
+
+    def usable(r: Column) -> Column:
+        return r["date"].isNotNull() & r["desc"].isNotNull() & F.coalesce(r["debit"], r["credit"], r["amount"]).isNotNull()
+
+    roles = F.filter(F.array(let(F.transform("cells", header_name), _roles)), usable)
+    layouts = heads.select("cells").distinct().select("cells", F.explode(roles).alias("roles"))
+    return heads.join(layouts, "cells").select(*PAGE, "table_no", "roles")  # few layouts: Spark sees their bytes and splits hot ones
 
 
 def parse_tables(tables: DataFrame, ref_year: int) -> DataFrame:
@@ -353,25 +360,45 @@ def parse_tables(tables: DataFrame, ref_year: int) -> DataFrame:
     def cell(role: str) -> Column:
         return F.coalesce(strip(F.try_element_at("cells", F.col(f"roles.{role}") + 1)), F.lit(""))
 
+    def found(amount: Column, debit: Column, credit: Column) -> Column:
+        return F.struct(
+            F.coalesce(amount, debit, credit).alias("amount"),
+            F.when(debit.isNotNull(), "withdrawals").when(credit.isNotNull(), "deposits").alias("section"),
+        )
+
+    def priced(raw: Column) -> Column:
+        def with_credit(amount: Column, debit: Column) -> Column:
+            credit = F.when(amount.isNull() & debit.isNull(), F.abs(S.parse_amount(cell("credit"))))
+            return let(credit, lambda c: found(amount, debit, c))
+
+        def with_debit(amount: Column) -> Column:
+            return let(F.when(amount.isNull(), -F.abs(S.parse_amount(cell("debit")))), lambda debit: with_credit(amount, debit))
+
+        return let(S.parse_amount(cell("amount"), raw), with_debit)
+
+    def whole(row: Column) -> Column:
+        return F.struct(
+            row["date"].alias("transaction_date"),
+            row["description"].alias("description"),
+            row["raw"].alias("raw_text"),
+            priced(row["raw"]).alias("found"),
+        )
+
     data = tables.where((F.col("row_no") > 0) & F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     raw = F.array_join(F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("")))), " | ")
-    amount, debit, credit = (F.col(name) for name in ("_amount", "_debit", "_credit"))
+    # Every text is worked on inside one generator: as columns and filters, Spark would repeat the work for each mention.
+    dated = F.filter(F.array(S.parse_date(cell("date"), ref_year)), lambda date: date.isNotNull())
+    told = F.filter(
+        F.transform(dated, lambda date: F.struct(date.alias("date"), clean_description(cell("desc")).alias("description"))),
+        lambda row: (row["description"] != "") & ~S.is_summary_line(row["description"]),
+    )
+    rows = F.transform(told, lambda row: F.struct(row["date"].alias("date"), row["description"].alias("description"), raw.alias("raw")))
+    kept = F.filter(F.transform(rows, whole), lambda row: row["found"]["amount"].isNotNull())
     return (
         data.join(table_roles(tables), [*PAGE, "table_no"])
-        .withColumn("raw_text", raw)
-        .withColumn("transaction_date", S.parse_date(cell("date"), ref_year))
-        .withColumn("description", clean_description(cell("desc")))
-        .where(
-            F.col("transaction_date").isNotNull()
-            & (F.col("description") != "")
-            & ~S.is_summary_line(F.col("description"))
-        )
-        .withColumn("_amount", S.parse_amount(cell("amount"), F.col("raw_text")))
-        .withColumn("_debit", F.when(amount.isNull(), -F.abs(S.parse_amount(cell("debit")))))
-        .withColumn("_credit", F.when(amount.isNull() & debit.isNull(), F.abs(S.parse_amount(cell("credit")))))
-        .withColumn("amount", F.coalesce(amount, debit, credit))
-        .where(F.col("amount").isNotNull())
-        .withColumn("section", F.when(debit.isNotNull(), "withdrawals").when(credit.isNotNull(), "deposits"))
+        .select(*PAGE, "table_no", "row_no", F.explode(kept).alias("r"))
+        .select(*PAGE, "table_no", "row_no", "r.*")
+        .select("*", "found.*")
         .withColumn("line_no", F.col("table_no") * 1_000_000_000 + F.col("row_no"))
         .withColumn("priority", F.lit(0))
         .select(*CANDIDATE)

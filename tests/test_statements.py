@@ -156,3 +156,24 @@ def test_json_answers(spark):
 def test_line_diagnostics(spark):
     r = P.line_diagnostics(lines_of(spark, {(1, 1): "\nJan 5 SHOP 12.00\nOpening Balance 5.00"})).orderBy("line_no").collect()
     assert [(x.date_at_start, x.is_summary, x.would_parse) for x in r] == [("Jan 5", False, True), (None, True, False)]
+
+
+def plan_of(df):
+    setting = "spark.sql.maxPlanStringLength"
+    df.sparkSession.conf.set(setting, "100000000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset(setting)
+
+
+def test_texts_of_tables_are_worked_on_once(spark):
+    header, row = ["Date", "Description", "Amount"], ["01/15/2024", "SHOP", "3.00"]
+    pages = [(s, 1, [[header, row], [header, row, row], [[None, "Description"], row], [None, row]]) for s in range(50)]
+    rows = files.scan_statement_tables(spark.createDataFrame(pages, TABLE))
+    assert P.table_roles(rows).count() == 100
+    parsed = P.parse_tables(rows, 2024)
+    assert parsed.count() == 150
+    plan = plan_of(parsed)
+    assert plan.count("merchant|") == 1 and plan.count("(CR|DR)") <= 6  # patterns of headers and of amounts
+    assert "Aggregate [cells" in plan  # a header is read once for all tables that have it
