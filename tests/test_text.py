@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,13 @@ def test_white_space_and_redaction(spark):
     assert column(spark, ["acct 123456 x1234"], "string", X.redact_digits) == ["acct [redacted] x1234"]
     assert column(spark, ["12345 123456"], "string", lambda v: X.redact_digits(v, 6)) == ["12345 [redacted]"]
     assert column(spark, ['```json\n{"a": 1}\n```'], "string", X.strip_code_fences) == ['{"a": 1}']
+
+
+def test_descriptions_are_cut_in_linear_time(spark):
+    texts = [("*- shop 12 (x) -- !", "shop 12 (x)"), ("--", ""), ("", ""), (None, None), ("(a", "(a"), ("a\n)", "a )"), ("é a é", "a"), ("a ", "a")]
+    got = spark.createDataFrame(texts, "text string, wanted string").select(X.clean_description("text").alias("got"), "wanted")
+    assert got.where(~F.equal_null("got", "wanted")).count() == 0
+    long = spark.range(40).select(F.concat(F.lit("a"), F.repeat(F.lit("-"), 60_000), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    assert long.select(F.length(X.clean_description("text")).alias("n")).where("n > 60000").count() == 40
+    assert time.time() - began < 10
