@@ -452,7 +452,7 @@ def parse_statements(lines: DataFrame, tables: DataFrame, ref_year: int) -> tupl
 
     A statement with any finished table row uses its tables only; every other one uses text and blocks.
     """
-    # One row per statement, one row per candidate: written once, read by every step below.
+    # One row per statement, per candidate and per transaction: written once, read by every step below and by the caller.
     types = cut_lineage(statement_types(lines))
     table_sizes = tables.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_lines"))
     from_tables = cut_lineage(
@@ -466,7 +466,7 @@ def parse_statements(lines: DataFrame, tables: DataFrame, ref_year: int) -> tupl
     found = candidates.groupBy("statement_id").agg(
         F.count(F.when(F.col("priority") == 1, 1)).alias("n_text"), F.count(F.when(F.col("priority") == 2, 1)).alias("n_block")
     )
-    from_text = finalize_statement(candidates)
+    from_text = cut_lineage(finalize_statement(candidates))
     finished = from_text.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n_finished"))
     everything = types.select("statement_id", "statement_type", "has_text").join(
         tables.select("statement_id").distinct(), "statement_id", "full_outer"

@@ -20,8 +20,7 @@ def upload_preview(lines: DataFrame, tables: DataFrame, answers: DataFrame, ref_
     them. A chunk without a usable answer keeps its own rows, signs follow the answers' types, and an upload from which
     too much was removed keeps what was parsed. An upload without a row is `parse_failed`, with the reason.
     """
-    parsed, outcome = P.parse_statements(lines, tables, ref_year)
-    parsed, outcome = cut_lineage(parsed), cut_lineage(outcome)
+    parsed, outcome = P.parse_statements(lines, tables, ref_year)  # rows that are written already
     cleaned = ingest_json_rows(answers, P.chunk_rows(parsed, chunk))
     rows = cut_lineage(P.cleanup_apply(parsed, cut_lineage(cleaned)).withColumn("transaction_date", F.col("transaction_date").try_cast("date")))
     spent, size = F.col("amount") < 0, F.abs("amount")

@@ -177,3 +177,9 @@ def test_texts_of_tables_are_worked_on_once(spark):
     plan = plan_of(parsed)
     assert plan.count("merchant|") == 1 and plan.count("(CR|DR)") <= 6  # patterns of headers and of amounts
     assert "Aggregate [cells" in plan  # a header is read once for all tables that have it
+
+
+def test_transactions_are_finished_once(spark):
+    txns, _ = P.parse_statements(lines_of(spark, {(1, 1): BANK}), spark.createDataFrame([], "statement_id long, page_no long, table_no long, row_no long, cells array<string>"), 2024)
+    assert txns.count() == 6
+    assert "Window" not in plan_of(txns)  # read from what was written, however often a caller reads it
