@@ -19,6 +19,8 @@ from coinweir.session import cut_lineage
 
 CELL_BITS = (51, 39)  # 4,096 cells of all hashes, then 4,096 of the one at the cut
 
+PART_ROWS = 100_000  # training rows that one task keeps in memory: 35 MB or so with the draws of 50 trees
+
 FEATURES = [*V.NUMERIC_FEATURES, *[f"{name}_enc" for name in V.CATEGORICAL_FEATURES]]
 
 
@@ -118,14 +120,19 @@ class Preprocessor:
         return df
 
     def transform(self, df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
-        scaled = standard_scale(self.encode(df, row_id), self.stats, FEATURES)
+        return self.scale(self.encode(df, row_id))
+
+    def scale(self, encoded: DataFrame) -> DataFrame:
+        scaled = standard_scale(encoded, self.stats, FEATURES)
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(scaled)
 
 
-def fit_preprocessor(train: DataFrame, row_id: str = "transaction_id") -> Preprocessor:
-    dictionaries = {name: label_dictionary(train, name) for name in V.CATEGORICAL_FEATURES}
-    unscaled = Preprocessor(dictionaries, train).encode(train, row_id)
-    return Preprocessor(dictionaries, cut_lineage(scale_stats(unscaled, FEATURES)))
+def fit_preprocessor(split: DataFrame, row_id: str = "transaction_id") -> tuple[Preprocessor, DataFrame]:
+    """(what the training rows teach, all rows encoded): the joins with the dictionaries are made and written once."""
+    dictionaries = {name: label_dictionary(split.where(~F.col("in_test")), name) for name in V.CATEGORICAL_FEATURES}
+    encoded = cut_lineage(Preprocessor(dictionaries, split).encode(split, row_id))
+    stats = scale_stats(encoded.where(~F.col("in_test")), FEATURES)
+    return Preprocessor(dictionaries, cut_lineage(stats)), encoded
 
 
 def train_forest(train: DataFrame, label: str = "is_anomaly") -> RandomForestClassificationModel:
@@ -187,14 +194,22 @@ def load_model(spark: SparkSession, folder: str) -> TrainedModel:
     return TrainedModel(preprocessor, forest, spark.read.parquet(f"{folder}/test"))
 
 
+def in_parts(rows: DataFrame, row_id: str, size: int = PART_ROWS) -> DataFrame:
+    """Rows by hash of their id in parts of about `size`, whose number grows with the rows; few rows stay as they are."""
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.repartition(max(-(-n // size), rows.sparkSession.sparkContext.defaultParallelism), row_id)
+
+
 def train(features: DataFrame, label: str = "is_anomaly", row_id: str = "transaction_id") -> TrainedModel:
-    """Split, fit on the training part only, train. The features are written once and read by every step."""
+    """Split, fit on the training part only, train. The features are written once, and once more with their codes."""
     split = stratified_split(cut_lineage(features), label, row_id)
-    train_rows, test_rows = split.where(~F.col("in_test")), split.where(F.col("in_test"))
-    preprocessor = fit_preprocessor(train_rows, row_id)
-    weighted = balanced_weights(preprocessor.transform(train_rows, row_id), label)
-    forest = train_forest(cut_lineage(weighted.select("features", "weight", label)), label)
-    return TrainedModel(preprocessor, forest, preprocessor.transform(test_rows, row_id))
+    preprocessor, encoded = fit_preprocessor(split, row_id)
+    train_rows, test_rows = encoded.where(~F.col("in_test")), encoded.where(F.col("in_test"))
+    weighted = balanced_weights(preprocessor.scale(train_rows), label)
+    forest = train_forest(cut_lineage(in_parts(weighted, row_id).select("features", "weight", label)), label)
+    return TrainedModel(preprocessor, forest, preprocessor.scale(test_rows))
 
 
 def evaluate_model(model: TrainedModel, threshold: float = V.EVALUATION_THRESHOLD, label: str = "is_anomaly") -> DataFrame:

@@ -76,3 +76,11 @@ def test_scores(spark, model):
         else:
             assert r.is_anomaly == (r.confidence >= V.SCORING_THRESHOLD) and (r.reason is not None) == r.is_anomaly
     assert any(r.is_anomaly for r in rows)
+
+
+def test_training_parts_grow_with_the_rows(spark):
+    many = M.in_parts(spark.range(0, 3000, 1, 1).withColumnRenamed("id", "transaction_id"), "transaction_id", 100)
+    sizes = [r.n for r in many.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 200
+    few = spark.range(0, 100, 1, 1).withColumnRenamed("id", "transaction_id")
+    assert M.in_parts(few, "transaction_id", 100) is few
