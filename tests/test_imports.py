@@ -107,3 +107,12 @@ def test_import(spark):
 def test_manual_entries_take_the_classifier_type(spark):
     kinds = {r.merchant: r.transaction_type for r in job(spark, "classifier")["transactions"].collect()}
     assert kinds["NEW SHOP"] == "income" and kinds["COFFEE BAR #12"] == "expense"
+
+
+def test_requests_are_grouped_once(spark):
+    asked = spark.createDataFrame([(1, "food", "expense", "Food"), (2, "food", "expense", "food!"), (3, "pay", "income", "Pay")], "row_no int, normalized_name string, transaction_type string, name string")
+    known = spark.createDataFrame([(7, "Pay", "pay", "income")], "id long, name string, normalized_name string, transaction_type string")
+    everything, resolved = C.category_resolve(asked, known, "row_no")
+    assert sorted((r.category_id, r.resolved_name) for r in resolved.collect()) == [(7, "Pay"), (8, "Food")]
+    assert everything.count() == 2
+    assert "min_by" not in resolved._jdf.queryExecution().optimizedPlan().toString() and "row_no" not in resolved._jdf.queryExecution().optimizedPlan().toString()
