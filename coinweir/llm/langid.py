@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from coinweir.llm.common import BATCH_ROWS, in_batches, may_be_among_first, release, text_bytes, written
+from coinweir.llm.common import BATCH_ROWS, in_batches, map_batches, may_be_among_first, release, text_bytes, written
 
 SAMPLE_ROWS = 1_500  # labelled rows of each language that the model is fitted on
 AT_ONCE = 400  # languages whose centroids a task or the driver holds; more are gone through in blocks
@@ -354,7 +354,7 @@ def _pass(docs: DataFrame, shared: Broadcast, schema: StructType, number: int) -
             yield pa.RecordBatch.from_arrays([*(batch.columns[:-1] if number else batch.columns), found], names=schema.names)
         release()
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -369,7 +369,7 @@ def without_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
         release()
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_batches(rows, run, docs.schema)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinweir.llm import bpe, decontam, jaccard, langid, quality
-from coinweir.llm.common import bit_map, bit_test, cell, rows_where, table, written
+from coinweir.llm.common import bit_map, bit_test, cell, map_batches, rows_where, table, written
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -39,7 +39,7 @@ def _parts(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, str]
                 kept = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
                 yield kept.filter(pa.array(found == meant))
 
-        return marked.mapInArrow(run, keyed.schema)
+        return map_batches(marked, run, keyed.schema)
 
     return part(False).drop(name), part(True), name
 

@@ -387,3 +387,25 @@ def test_workers_forget_caches_that_a_task_does_not_use():
     common.remembered(two)
     common.release()
     assert not one and two
+
+
+def test_a_cache_that_begins_to_fill_empties_those_of_other_operators():
+    from coinweir.llm import common
+
+    common.release()
+    common.release()
+    one, two = {}, {}
+    common.remembered(one)[1] = 1
+    common.release()
+    common.remembered(two)[2] = 2
+    assert not one and two
+    common.remembered(one)[1] = 1
+    assert one and two  # a task that uses both keeps both
+    common.release()
+    common.remembered(one)
+    assert one and two
+    common.WORD_HASHES([b"a", b"b"])
+    common.release()
+    common.remembered(two)
+    common.release()
+    assert not common.WORD_HASHES.known

@@ -124,3 +124,32 @@ def test_clashing_columns_and_empty_tables(spark):
     none = raw.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """Also while the caller writes what a stage returns, and only as far as the session has no setting of its own."""
+    import pyarrow as pa
+
+    from coinweir.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    docs = spark.range(6000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 3000).alias("text"))
+    before = spark.conf.get(common.BYTES_SETTING, None)
+    try:
+        spark.conf.unset(common.BYTES_SETTING)
+        made = corpus_pipeline.encoding_stage(spark, docs, FOLDER)
+        assert made.count() == 6000
+        found = docs.mapInArrow(sizes, "rows bigint, bytes bigint").collect()  # by the session's setting, as the stage runs
+        assert sum(r.rows for r in found) == 6000
+        assert max(r.bytes for r in found) <= 2 * common.BATCH_BYTES
+        spark.conf.set(common.BYTES_SETTING, 100_000)
+        corpus_pipeline.encoding_stage(spark, docs, FOLDER)
+        assert max(r.bytes for r in docs.mapInArrow(sizes, "rows bigint, bytes bigint").collect()) <= 200_000
+    finally:
+        if before is None:
+            spark.conf.unset(common.BYTES_SETTING)
+        else:
+            spark.conf.set(common.BYTES_SETTING, before)
