@@ -22,29 +22,36 @@ CACHE_LIMIT = 250_000  # chunks whose ids a worker remembers
 BLOCK_BYTES = 1 << 20  # text whose new chunks are replayed together
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """Ids of each word as little-endian unsigned 32-bit integers."""
+def pair_ranks(ranks: dict[bytes, int]) -> np.ndarray:
+    """Rank of each pair of bytes, -1 for none, by 256 * first + second."""
+    found = np.full(1 << 16, -1, np.int32)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            found[token[0] << 8 | token[1]] = rank
+    return found
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: np.ndarray | None = None) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit integers. `pairs` are the `pair_ranks` of `ranks`."""
     flat = b"".join(words)
-    end = list(range(1, len(flat) + 1))  # where the symbol that starts here ends; 0: no symbol starts here
-    before = list(range(-1, len(flat) - 1))  # start of the symbol to the left; -1 at a word's start
-    stop: list[int] = []  # end of the word
-    index: dict[int, list[int]] = {}
+    if not flat:
+        return [b""] * len(words)
     get = ranks.get
-    start = 0
-    for word in words:
-        close = start + len(word)
-        stop += [close] * len(word)
-        if word:
-            before[start] = -1
-        if get(word) is not None:  # a word that is a token needs no merges
-            end[start:close] = [0] * len(word)
-            end[start] = close
-        else:
-            for i in range(start, close - 1):
-                rank = get(flat[i : i + 2])
-                if rank is not None:
-                    index.setdefault(rank, []).append(i)
-        start = close
+    sizes = np.fromiter(map(len, words), np.int32, len(words))
+    closes = np.cumsum(sizes, dtype=np.int32)
+    here, stops = np.arange(len(flat), dtype=np.int32), np.repeat(closes, sizes)
+    starts = np.repeat(closes - sizes, sizes)
+    whole = np.repeat(np.fromiter((w in ranks for w in words), bool, len(words)), sizes)  # a word that is a token needs no merges
+    end = np.where(whole, np.where(here == starts, stops, 0), here + 1).tolist()  # where the symbol that starts here ends; 0: no symbol starts here
+    before = np.where(here == starts, -1, here - 1).tolist()  # start of the symbol to the left; -1 at a word's start
+    stop = stops.tolist()  # end of the word
+    raw = np.frombuffer(flat, np.uint8).astype(np.int32)
+    first = (pair_ranks(ranks) if pairs is None else pairs)[raw[:-1] << 8 | raw[1:]]
+    places = np.flatnonzero((first >= 0) & ~whole[:-1] & (here[1:] < stops[:-1]))
+    places = places[np.argsort(first[places], kind="stable")]
+    found, cuts = np.unique(first[places], return_index=True)
+    index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, cuts[1:]), strict=False)}
+    del here, stops, starts, whole, raw, first, places
     length = {}
     heap = list(index)
     heapify(heap)
@@ -76,34 +83,35 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
                 before[far] = i
                 new = get(flat[i : end[far]])
                 if new is not None:
-                    low = min(low, new)
-                    if new in index:
-                        index[new].append(i)
-                    else:
+                    if new < low:
+                        low = new
+                    at = index.get(new)
+                    if at is None:
                         index[new] = [i]
                         heappush(heap, new)
+                    else:
+                        at.append(i)
             left = before[i]
             if left >= 0:
                 new = get(flat[left:far])
                 if new is not None:
-                    low = min(low, new)
-                    if new in index:
-                        index[new].append(left)
-                    else:
+                    if new < low:
+                        low = new
+                    at = index.get(new)
+                    if at is None:
                         index[new] = [left]
                         heappush(heap, new)
+                    else:
+                        at.append(left)
             if low < rank:
                 wait = stop[i]
         if rank in index:
             heappush(heap, rank)
-    out, start = [], 0
-    for word in words:
-        close, ids = start + len(word), []
-        while start < close:
-            ids.append(ranks[flat[start : end[start]]])
-            start = end[start]
-        out.append(np.array(ids, "<u4").tobytes())
-    return out
+    ends = np.array(end, np.int32)
+    live = np.flatnonzero(ends)
+    ids = np.array([ranks[flat[a:b]] for a, b in zip(live.tolist(), ends[live].tolist(), strict=True)], "<u4").tobytes()
+    upto = (4 * np.searchsorted(live, closes)).tolist()
+    return [ids[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
 
 class Vocabulary:
@@ -113,14 +121,17 @@ class Vocabulary:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.token = {i: t for t, i in self.ranks.items()}
+        self.pairs = pair_ranks(self.ranks)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        cut = {c: [c] if c.isalpha() or (c[0] == " " and c[1:].isalpha()) else self.pattern.findall(c) for c in chunks}
-        words = list({w for ws in cut.values() for w in ws})
-        ids = dict(zip(words, replay([w.encode() for w in words], self.ranks), strict=True))
+        plain = {c for c in chunks if c.isalpha() or (c[0] == " " and c[1:].isalpha())}  # one match of the pattern each
+        cut = {c: self.pattern.findall(c) for c in chunks if c not in plain}
+        words = [*plain, *{w for ws in cut.values() for w in ws}.difference(plain)]
+        ids = dict(zip(words, replay([w.encode() for w in words], self.ranks, self.pairs), strict=True))
         self.known.update((c, b"".join(map(ids.__getitem__, ws))) for c, ws in cut.items())
+        self.known.update(zip(words[: len(plain)], map(ids.__getitem__, words[: len(plain)]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [CHUNK.findall(t) for t in texts]

@@ -66,6 +66,23 @@ def test_replay_prefers_the_lowest_rank_that_comes_up():
     assert got == [library.encode_ordinary(w) for w in words]
 
 
+def test_replay_looks_pairs_of_bytes_up_at_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    ranks = Counted({bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 301, b"xy": 302})
+    words = ["", "ab", "cbacba" * 20, "abc", "", "zzzz", "xyz", "c", ""]
+    library = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=dict(ranks), special_tokens={})
+    got = bpe.replay([w.encode() for w in words], ranks)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(w) for w in words]
+    assert ranks.asked < 80  # 19 places of ab in the long word and one of xy are followed; 137 bytes are not looked up one by one
+    assert bpe.replay([], ranks) == [] and bpe.replay([b"", b""], ranks) == [b"", b""]
+
+
 def test_token_counts_as_tokenizers(docs, rows, empty):
     path = P.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
