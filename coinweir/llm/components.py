@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from coinweir.llm.common import written
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(links: DataFrame, left: str = "a", right: str = "b", known: DataFrame | None = None) -> DataFrame:
     """node, root of every node that has a link: root is the smallest node reachable.
 
+    `known` is what this function gave for links before; those count too, and only the components that `links` join
+    go through the rounds again.
+
     In a round each node points at the neighbour with the smallest hash, or at itself, and pointed-at nodes
     stand for their followers in the next round's links; hashes differ from round to round, so long chains
     shrink by a constant factor too. Nothing but a flag comes to the driver. Loops and repeated links are fine;
     a null end is no link.
     """
-    edges = written(
-        links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(),
-        "links",
-    )
+    edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    if known is not None:
+        for end in ("a", "b"):
+            edges = edges.join(known.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        more = written(components(edges), "joined")
+        if more.isEmpty():
+            return known
+        # a node of `more` is a root of `known`, which `known` has as its own root, or new
+        placed = known.unionByName(more.select("node", F.col("node").alias("root"))).distinct()
+        return placed.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    edges = written(edges.distinct(), "links")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("id"))

@@ -251,7 +251,8 @@ def jaccard_components(
     )
     links = verified(written(_ordered(star), "pairs"), docs, words, percent, kind)
     # then with the most central member of each shingle's largest component
-    placed, main = _placed(shared, components(links))
+    found = written(components(links), "found")
+    placed, main = _placed(shared, found)
     heads = (
         placed.join(main, "token")
         .where("top = main")
@@ -268,10 +269,10 @@ def jaccard_components(
         .groupBy("rep", "main")
         .agg(F.max(F.struct("weight_l", "rep_l"))["rep_l"].alias("rep_l"))
     )
-    links = written(links.unionByName(verified(written(_ordered(near), "pairs"), docs, words, percent, kind)), "links")
+    found = written(components(verified(written(_ordered(near), "pairs"), docs, words, percent, kind), known=found), "found")
 
     # pairs of different components: one of them lies outside the shingle's largest component
-    placed, main = _placed(shared, components(links))
+    placed, main = _placed(shared, found)
     outside = placed.join(main, "token").where("top <> main").select("token", *(F.col(c).alias(f"{c}x") for c in ("rep", "n", "at", "top")))
     rest = (
         outside.join(placed.select("token", *(F.col(c).alias(f"{c}y") for c in ("rep", "n", "at", "top"))), "token")
@@ -280,7 +281,7 @@ def jaccard_components(
         .select(F.col("repx").alias("rep"), F.col("repy").alias("rep_l"))
     )
     more = verified(written(_ordered(rest), "pairs"), docs, words, percent, kind)
-    found = components(links.unionByName(more))
+    found = components(more, known=found)
 
     shown = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("root", "rep").alias("component_id"))
     linked = members.join(shown, ["cls", "n"], "left")

@@ -230,10 +230,9 @@ def _pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
     return written(ends.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), "pairs")
 
 
-def _placed(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of keys that several components have, with the component (top), and each such key's largest one (main)."""
-    found = components(links).select(F.col("node").alias("rep"), F.col("root"))
-    placed = written(shared.join(found, "rep", "left").withColumn("top", F.coalesce("root", "rep")).drop("root"), "placed")
+    placed = written(shared.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("top", F.coalesce("root", "rep")).drop("root"), "placed")
     sizes = placed.groupBy("key", "top").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "top"))["top"].alias("main"), F.count(F.lit(1)).alias("tops"))
     return written(placed.join(main.where("tops > 1").select("key", "main"), "key"), "placed")
@@ -271,21 +270,21 @@ def near_duplicates(
     central = F.max(F.struct("weight", "rep")).alias("lead")
     heads = shared.groupBy("key").agg(central).select("key", F.col("lead.weight").alias("lead_weight"), F.col("lead.rep").alias("lead"))
     first = shared.join(heads, "key").groupBy("rep").agg(F.max(F.struct("lead_weight", "lead"))["lead"].alias("lead"))
-    links = check(_pairs(first, "rep", "lead"))
+    found = written(components(check(_pairs(first, "rep", "lead"))), "found")
 
     # classes outside the largest component of a key with its most central member
-    placed = _placed(shared, links)
+    placed = _placed(shared, found)
     heads = placed.where("top = main").groupBy("key").agg(central).select("key", F.col("lead.rep").alias("lead"))
     near = placed.where("top <> main").join(heads, "key")
-    links = written(links.unionByName(check(_pairs(near, "rep", "lead"))), "links")
+    found = written(components(check(_pairs(near, "rep", "lead")), known=found), "found")
 
     # members of a key that are in different components still, one of them not similar to the head
-    placed = _placed(shared, links)
+    placed = _placed(shared, found)
     heads = placed.where("top = main").groupBy("key").agg(central).select("key", F.col("lead.rep").alias("lead"))
     around = placed.join(heads, "key").where("rep <> lead").select("lead", "rep", "top", "main").distinct()
     around = written(around, "around")
     rest = shared_edits(around, sets, percent, kind).unionByName(around.where("top <> main").select("rep", F.col("lead").alias("other")))
-    found = components(links.unionByName(check(_pairs(rest, "rep", "other"))))
+    found = components(check(_pairs(rest, "rep", "other")), known=found)
 
     shown = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("root", "rep").alias("component_id"))
     # rows without a set have no class to meet; they are left out of the join

@@ -175,6 +175,23 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def test_components_of_more_links(spark, monkeypatch):
+    made = lambda links: spark.createDataFrame(links, "a long, b long")
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, 201), (201, 202), (300, 301), (None, 300)]
+    more = [(140, 202), (90, 301), (5, 6), (6, 6), (400, None), (101, 120)]
+    known = components.written(components.components(made(links)), "known")
+    rows = []
+    kept = components.written
+    monkeypatch.setattr(components, "written", lambda df, label: rows.append((label, kept(df, label))) or rows[-1][1])
+    got = components.components(made(more), known=known).collect()
+    assert max(df.count() for label, df in rows if label == "links") <= 3  # links inside known components are not gone through again
+    assert sorted((r.node, r.root) for r in got) == sorted((r.node, r.root) for r in components.components(made(links + more)).collect())
+    inside = components.components(made([(101, 140), (201, 200)]), known=known)
+    assert sorted((r.node, r.root) for r in inside.collect()) == sorted((r.node, r.root) for r in known.collect())
+    first = components.components(made(more), known=components.components(made([])))
+    assert {r.node: r.root for r in first.collect()} == {140: 140, 202: 140, 90: 90, 301: 90, 5: 5, 6: 5, 101: 101, 120: 101}
+
+
 def test_backoff_scores(docs, rows, empty):
     words = {k: (t or "").encode().lower().split() for k, t, *_ in rows}
     counts = Counter(g for w in words.values() for n in (1, 2, 3) for g in zip(*(w[i:] for i in range(n)), strict=False))
