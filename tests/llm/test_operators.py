@@ -192,6 +192,20 @@ def test_components_of_more_links(spark, monkeypatch):
     assert {r.node: r.root for r in first.collect()} == {140: 140, 202: 140, 90: 90, 301: 90, 5: 5, 6: 5, 101: 101, 120: 101}
 
 
+def test_components_of_few_links_take_one_round(spark, monkeypatch):
+    links = [(f"é{i:03}", f"é{i + 1:03}") for i in range(300)] + [("x", "y"), ("y", "x"), ("z", "y"), ("w", "w")]
+    want = {f"é{i:03}": "é000" for i in range(301)} | dict.fromkeys("xyz", "x")
+    labels, kept = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: labels.append(label) or kept(df, label))
+    df = spark.createDataFrame(links, "a string, b string").repartition(7)
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    assert len(labels) <= 2  # each written table is jobs, plans and broadcasts of the driver
+    labels.clear()
+    monkeypatch.setattr(components, "AT_ONCE", 40)  # rounds first, then what is left at once
+    assert {r.node: r.root for r in components.components(df).collect()} == want
+    assert labels.count("points") > 1
+
+
 def test_backoff_scores(docs, rows, empty):
     words = {k: (t or "").encode().lower().split() for k, t, *_ in rows}
     counts = Counter(g for w in words.values() for n in (1, 2, 3) for g in zip(*(w[i:] for i in range(n)), strict=False))
