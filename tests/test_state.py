@@ -70,6 +70,18 @@ def test_one_user_changes_one_bucket_and_repeats_do_nothing(spark):
     assert table.read(spark, START).count() == 0
 
 
+def test_merged_arrays_are_the_newest_of_both_sides(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a"] * 4 + ["b", "c", None]), float(i), rng.randrange(60)) for i in range(120)]
+    old, new = [r for r in rows if r[0] < 80 and r[1] != "b"], [r for r in rows if r[0] >= 80 and r[1] != "c"]
+    merged = S.merge_recent(S.recent_arrays(_txns(spark, old), 30), S.recent_arrays(_txns(spark, new), 30), 20)
+    got = {r.user_id: [(e.created_at, e.id) for e in r.recent] for r in merged.collect()}
+    want = {u: sorted(((T0 + datetime.timedelta(hours=h), i) for i, v, _, h in old + new if v == u), reverse=True)[:20] for u in ("a", "b", "c", None)}
+    assert got == want and len(want["a"]) == 20
+    # Users of one side pass through: arrays are not collected again, nor those of all users sorted.
+    assert "collect_list" not in merged.select("user_id", "recent")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
 @pytest.fixture(scope="module")
 def groups():
     rng = random.Random(3)
